@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NON_WORDS, ascii_lower, split_words, stored
 
+#: NON_WORDS for texts that aren't lower-cased yet.
+CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64_000_000
 KEY = ("key", "mark")
@@ -47,14 +49,14 @@ def windows(items: DataFrame, n: int = 13, item_id: str = "item_id", text: str =
 
 
 def probe_terms(docs: DataFrame, wins: DataFrame, probes: int, doc_id: str, text: str) -> DataFrame:
-    """(window, term, offset, n_probes): the rarest different terms of each window that can occur at all."""
+    """(window, n_probes, rank, term, offset): the rarest different terms of each window that can occur at all."""
     terms = wins.select("window").distinct().select("window", F.posexplode(F.split(F.lower("window"), " ")).alias("offset", "term"))
     counts = folded(docs, doc_id, text).select(F.explode("words").alias("term")).join(bounded(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     # a window has few terms, so that gathering them is bounded
     ranked = terms.join(counts, "term", "left").groupBy("window").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("t")).where("least > 0")
     first = F.filter("t", lambda x, i: (i == 0) | (x.term != F.get("t", i - 1).term))
     picked = ranked.select("window", F.slice(first, 1, probes).alias("t"))
-    return picked.select("window", F.size("t").alias("n_probes"), F.explode("t").alias("x")).select("window", "n_probes", "x.term", "x.offset")
+    return picked.select("window", F.size("t").alias("n_probes"), F.posexplode("t").alias("rank", "x")).select("window", "n_probes", "rank", "x.term", "x.offset")
 
 
 def index(docs: DataFrame, probed: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -65,12 +67,12 @@ def index(docs: DataFrame, probed: DataFrame, doc_id: str, text: str) -> DataFra
 
 def moved(postings: DataFrame, probed: DataFrame) -> DataFrame:
     """Each posting as a place where each of its term's windows would start."""
-    return postings.join(bounded(probed), "term").select(*KEY, "window", "n_probes", "term", (F.col("pos") - F.col("offset")).alias("start"))
+    return postings.join(bounded(probed), "term").select(*KEY, "window", "n_probes", "rank", "term", (F.col("pos") - F.col("offset")).alias("start"))
 
 
 def intersected(postings: DataFrame, probed: DataFrame) -> DataFrame:
     """(key, mark, window, start): what the moved lists of all probe terms of a window share."""
-    return moved(postings, probed).where("start >= 0").groupBy(*KEY, "window", "start").agg(F.count("*").alias("n"), F.first("n_probes").alias("of")).where("n = of").drop("n", "of")
+    return moved(postings, probed).where("start >= 0").groupBy(*KEY, "window", "start").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks"), F.first("n_probes").alias("of")).where("ranks = shiftleft(1L, of) - 1").drop("ranks", "of")
 
 
 def near(postings: DataFrame, probed: DataFrame, slop: int) -> DataFrame:
@@ -96,7 +98,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, probes: int =
     places = F.broadcast(places) if size <= BROADCAST_BYTES else places
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)])
     texts = texts.join(places, F.col("id").eqNullSafe(F.col("key")) & (F.col("h") == F.col("mark")), "left").drop(*KEY, "h")
-    texts = texts.select("id", "places", *[f"k_{i}" for i in range(len(keep))], split_words(F.col("t"), NON_WORDS).alias("w"))
+    texts = texts.select("id", "places", *[f"k_{i}" for i in range(len(keep))], split_words(F.col("t"), CASED).alias("w"))
     texts = texts.withColumn("lw", F.when(F.col("places").isNotNull(), F.transform("w", ascii_lower)))
     found = F.filter("places", lambda x: F.array_join(F.slice("lw", (x.start + 1).cast("int"), length(x.window)), " ") == x.window)
     texts = texts.select("id", F.size("w").cast("long").alias("n_words"), *[f"k_{i}" for i in range(len(keep))], F.when(F.col("lw").isNotNull(), found).alias("found"))

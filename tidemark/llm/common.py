@@ -12,6 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: ASCII white space; or ASCII that is neither letter nor digit.
 SPACES = r"[\x20\x09-\x0D]+"
 NON_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows up to which a table of a few short columns is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,11 @@ def split_words(text: Column, between: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), between), "")
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a hint to broadcast it, if it has no more than so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id as text is 0 modulo folds; a null id counts as held out, so nothing is learnt from it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))

@@ -22,20 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NON_WORDS, ascii_lower, split_words, stored
+from tidemark.llm.common import NON_WORDS, ascii_lower, bounded, split_words, stored
 
 #: NON_WORDS for texts that aren't lower-cased yet.
 CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64_000_000
 KEY = ("key", "mark")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a hint to broadcast it, if it has no more than so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def folded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(key, mark, words): words as the index has them; mark is a hash of the text."""
     return docs.select(F.col(doc_id).alias("key"), F.xxhash64(text).alias("mark"), split_words(F.lower(F.col(text)), NON_WORDS).alias("words"))

@@ -172,20 +172,18 @@ def secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """keep's columns and found, an array of (kind, start, end) in code points, the end excluded; with redact, also
     `redacted`, the text without what was found."""
     names = [f"k_{i}" for i in range(len(keep))]
-    types = [docs.schema[c].dataType.simpleString() for c in keep]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("found array<struct<kind:string,start:bigint,end:bigint>>" + ", redacted string" * redact)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in parts:
-            all_found = [spans(t, max_layer) for t in x["t"]]
-            out = x[names].copy()
-            out["found"] = [[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in all_found]
+            found = [spans(t, max_layer) for t in x]
+            out = pd.DataFrame({"found": [[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found]})
             if redact:
-                out["redacted"] = [redacted(t, f) for t, f in zip(x["t"], all_found)]
+                out["redacted"] = [redacted(t, f) for t, f in zip(x, found)]
             yield out
 
-    schema = ", ".join([*(f"{n} {t}" for n, t in zip(names, types)), "found array<struct<kind:string,start:bigint,end:bigint>>", *["redacted string"] * redact])
-    df = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("t")).mapInPandas(run, schema)
-    return df.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "found", *["redacted"] * redact)
+    df = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], run(F.col(text)).alias("x"))
+    return df.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "x.found", *["x.redacted"] * redact)
 
 
 def joined(found: Column) -> Column:

@@ -58,12 +58,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, mark, fp): a hash of the text, and the fingerprint as a signed long."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("bigint")
+    def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in parts:
-            yield pd.DataFrame({"id": x["id"], "mark": x["mark"], "fp": np.array([fingerprint(t, words) for t in x["t"]], np.uint64).view(np.int64)})
+            yield pd.Series(np.array([fingerprint(t, words) for t in x], np.uint64).view(np.int64))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("t")).mapInPandas(run, f"id {kind}, mark bigint, fp bigint")
+    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), fp(F.col(text)).alias("fp"))
 
 
 def pieces(radius: int, n: int) -> int:

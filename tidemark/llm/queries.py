@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, packing, pii, secrets, simhash, toxicity, warc
+from tidemark.llm import decontaminate, language, licenses, packing, pii, secrets, simhash, toxicity, warc
 from tidemark.llm.common import table
 from tidemark.llm.quality import quality
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,

@@ -115,6 +115,14 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns. Texts stay where they are unless the rows to drop
+    are more than can be broadcast."""
+    found = contamination(docs.select(F.col(doc_id), F.col(text), F.xxhash64(text).alias("text_mark")), items, doc_id=doc_id, text=text, keep=("text_mark",))
+    gone = bounded(stored(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(doc_id).alias("gone_id"), "text_mark").distinct(), "contaminated"))
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text]) == gone["text_mark"]), "left_anti")
+
+
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     df = contamination(docs, items)
     return df.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidemark.llm import decontaminate, language, licenses, packing, pii, secrets, simhash, toxicity, warc
 from tidemark.llm.common import table
 from tidemark.llm.quality import quality
@@ -61,5 +62,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}

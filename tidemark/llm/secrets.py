@@ -186,6 +186,18 @@ def secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return df.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "x.found", *["x.redacted"] * redact)
 
 
+def clean(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with every secret in the texts replaced, and n_chars, where there is such a column, counted anew."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            yield pd.Series([redacted(t, spans(t)) for t in x], dtype="object")
+
+    df = docs.withColumn(text, run(F.col(text)))
+    return df.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else df
+
+
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 

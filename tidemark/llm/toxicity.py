@@ -214,10 +214,19 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text"):
     return score(F.col(text))
 
 
+def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+    drawn = sample(docs, labels, per_class)
+    return fit(drawn["text"].tolist(), drawn["toxic"].to_numpy().astype(int), drawn["fold"].to_numpy())
+
+
+def clean(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns."""
+    return docs.where(scored(docs, trained(train_docs, labels), text) < 0.5)
+
+
 def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep's columns, score and predicted, by a model that is trained on train_docs and labels first."""
-    drawn = sample(train_docs, labels, per_class)
-    model = fit(drawn["text"].tolist(), drawn["toxic"].to_numpy().astype(int), drawn["fold"].to_numpy())
+    model = trained(train_docs, labels, per_class)
     df = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], scored(docs, model, text).alias("score"))
     return df.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 

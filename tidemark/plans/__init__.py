@@ -1,4 +1,6 @@
 """The registered queries: QUERIES by name, and ORACLE with the same result as SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import sql
+
+QUERIES = dict(sql.QUERIES)
+ORACLE = dict(sql.ORACLE)

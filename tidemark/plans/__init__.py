@@ -1,6 +1,6 @@
 """The registered queries: QUERIES by name, and ORACLE with the same result as SQL."""
 
-from tidemark.plans import sql
+from tidemark.plans import data, sql
 
-QUERIES = dict(sql.QUERIES)
-ORACLE = dict(sql.ORACLE)
+QUERIES = sql.QUERIES | data.QUERIES
+ORACLE = sql.ORACLE | data.ORACLE

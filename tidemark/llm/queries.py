@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from tidemark.llm import decontaminate, language, licenses, packing, pii, secrets, simhash, toxicity, warc
 from tidemark.llm.common import table
+from tidemark.llm.oracle import ORACLE  # noqa: F401
 from tidemark.llm.quality import quality
 
 
@@ -64,4 +65,3 @@ QUERIES = {
     "op10_pii": op10_pii,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +64,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a scratch folder and read again: cuts lineage, and survives lost executors."""
     df.write.parquet(path := scratch(df.sparkSession, name))
     return df.sparkSession.read.parquet(path)
+
+
+def fresh(parts: Iterator) -> Iterator:
+    """parts, once the memory that this Python worker has freed is back with the system: workers live on from stage to stage,
+    and what one stage has used and freed would count beside what the next one needs."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+    yield from parts

@@ -14,6 +14,7 @@ An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch
+from tidemark.llm.common import fresh, scratch
 
 LENGTH, END = 2048, 1
 #: Distinct space-separated parts of texts whose ids a worker keeps, and the longest part that it keeps.
-CACHED, LONGEST = 1_000_000, 64
+CACHED, LONGEST = 500_000, 64
+ENDS = (".", ",")
+#: Texts, and new parts of texts, that are encoded at once.
+TEXTS, BATCH = 200, 10_000
 
 
 class Encoder:
@@ -43,17 +47,22 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        ids = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        fresh = {p: np.array(e.ids, "<u2").tobytes() for p, e in zip(new, ids)}
-        self.known |= fresh
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.known[p]
+        # ASCII texts are lower-cased here, as the vocabulary does anyway: fewer different parts
+        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [""] for t in texts]
+        known = self.known
+        new = set().union(*parts).difference(known)
+        # letters and one stop or comma are two pre-tokens: only the letters are encoded and kept
+        ended = {p for p in new if p[-1:] in ENDS and p[:-1].lower().isalpha()}
+        whole = list({*new.difference(ended), *(p[:-1] for p in ended), *ENDS}.difference(known))
+        for i in range(0, len(whole), BATCH):
+            some = whole[i : i + BATCH]
+            known.update(zip(some, (array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        known.update({p: known[p[:-1]] + known[p[-1]] for p in ended})
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        # frequent parts are met early: once the cache is full, what is new is let go
+        full = len(known) - len(ended) > CACHED
+        for p in ended.union(p for p in whole if full or len(p) > LONGEST):
+            known.pop(p, None)
         return out
 
 
@@ -75,9 +84,9 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task, done, last = TaskContext.get().partitionId(), 0, np.array([end], "<u2").tobytes()
-        for x in parts:
-            for i in range(0, len(x), 500):
-                y = x.iloc[i : i + 500]
+        for x in fresh(parts):
+            for i in range(0, len(x), TEXTS):
+                y = x.iloc[i : i + TEXTS]
                 ids = [e + last for e in encoder(path).encode(y["t"].tolist())]
                 n = np.array([len(e) // 2 for e in ids], np.int64)
                 yield pd.DataFrame({"id": y["id"].to_numpy(), "task": task, "before": done + np.cumsum(n) - n, "n": n, "ids": ids})
@@ -100,7 +109,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_i
         at += r.n
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
+        for x in fresh(parts):
             for i in range(0, len(x), 500):
                 y = x.iloc[i : i + 500]
                 n, first = y["n"].to_numpy(), base[y["task"].to_numpy()] + y["before"].to_numpy()

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 #: One of these stands in any text that ASSIGN matches, once lower-cased.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -175,7 +177,7 @@ def secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
     @F.pandas_udf("found array<struct<kind:string,start:bigint,end:bigint>>" + ", redacted string" * redact)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for x in parts:
+        for x in fresh(parts):
             found = [spans(t, max_layer) for t in x]
             out = pd.DataFrame({"found": [[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found]})
             if redact:
@@ -191,7 +193,7 @@ def clean(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Data
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in parts:
+        for x in fresh(parts):
             yield pd.Series([redacted(t, spans(t)) for t in x], dtype="object")
 
     df = docs.withColumn(text, run(F.col(text)))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, stored
+from tidemark.llm.common import bounded, fresh, stored
 
 BITS, CHUNK = 64, 4096
 #: How many (fingerprint, block) pairs are compared at once.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
 
     @F.pandas_udf("bigint")
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in parts:
+        for x in fresh(parts):
             yield pd.Series(np.array([fingerprint(t, words) for t in x], np.uint64).view(np.int64))
 
     return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), fp(F.col(text)).alias("fp"))
@@ -199,7 +199,7 @@ def links(prints: DataFrame, radius: int, extra: int) -> DataFrame:
             a, b = linked(x["g"].to_numpy(), x["side"].to_numpy(), fps.view(np.uint64), radius)
             return pd.DataFrame({"a": np.maximum(fps[a], fps[b]), "b": np.minimum(fps[a], fps[b])})
 
-        for x in parts:
+        for x in fresh(parts):
             x = x if rest is None else pd.concat([rest, x], ignore_index=True)
             g = (x["group"] != x["group"].shift()).cumsum().to_numpy()
             x["g"] = g

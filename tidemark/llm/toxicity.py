@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, held_out
+from tidemark.llm.common import bounded, fresh, held_out
 
 WORD = re.compile(r"[^\W_]+")
 WIDTHS, FILTERS, DIM, EPOCHS, BATCH = (1, 2, 3), 12, 8, 6, 32
-PER_CLASS, LEAST_TEXTS, STRETCH, CACHED = 1500, 3, 100_000, 500_000
+PER_CLASS, LEAST_TEXTS, STRETCH, CACHED = 1500, 3, 100_000, 250_000
 #: Function words by which a text's language is guessed for its threshold.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was with as be on by at this from are".split(),
@@ -195,7 +195,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text"):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         known: dict[str, int] = {}
-        for x in parts:
+        for x in fresh(parts):
             out = []
             for t in x:
                 if m is None:

@@ -250,9 +250,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the smallest id. Texts stay where they are unless the rows to drop
+    """docs with one row of each component, that of the smallest id."""
+    return firsts_only(docs, stored(near_duplicates(docs, words, radius, doc_id, text), "found"), doc_id, text)
+
+
+def firsts_only(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs that are first in found (id, mark, first). Texts stay where they are unless the rows to drop
     are more than can be broadcast; only rows that are equal in id and text are dealt out, to keep one of each."""
-    found = stored(near_duplicates(docs, words, radius, doc_id, text), "found")
     gone = found.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))).select("id", "mark").distinct()
     twice = found.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark")
     mark = F.xxhash64(text)

@@ -112,6 +112,16 @@ def test_secrets_layers():
     assert secrets.spans("%2525252525") == []
 
 
+def test_secrets_repeated_layer():
+    b = base64.b64encode(b"password = hunter2hunter2").decode()
+    escaped = "".join(f"%{ord(c):02x}" for c in b)
+    text = f"see {b} and {b}\nor {escaped} or {base64.b64encode(b.encode()).decode()} end"
+    found = [s for s in secrets.spans(text) if s[0] == "decoded_assign"]
+    assert len(found) == 4
+    left = secrets.redacted(text, found)
+    assert left.count("[SECRET]") == 4 and not secrets.spans(left)
+
+
 def test_language(spark, small, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = {(r.doc_id, r.lang_pred == "und") for r in language.digest(docs, path).collect()}

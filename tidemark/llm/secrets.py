@@ -1,7 +1,7 @@
 """Secret scans with a decoding worklist: nested URL, Unicode, base64 and compressed layers are unwrapped until nothing new
 comes, each layer is scanned again, and what is found there is mapped back to the span of the text that carries it.
 
-A layer seen before in the same text isn't opened again, so that cycles end. An inflated layer of more than `max_layer` bytes
+A layer text is opened once for each text, so that cycles end; what it holds is mapped to every place that carries it. An inflated layer of more than `max_layer` bytes
 is not opened either: it is reported as a span of kind `oversize`, so that memory is bounded and nothing passes unseen.
 
 Kinds: assign, access and hex in the text itself; decoded_assign, decoded_access, decoded_hex and oversize by the method.
@@ -133,29 +133,44 @@ class Layer:
 
 
 def spans(text: str | None, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind as listed."""
+    """All spans by start, then kind as listed. Each different layer text is opened once; what is found in it goes to
+    every place that carries it, and from there on to the carriers of that text, until nothing is added."""
     if not text:
         return []
-    found = set(scan(text))
-    work, seen = [Layer(text)], {text}
+    found: dict[str, set[tuple[str, int, int]]] = {}
+    carriers: dict[str, list[tuple[str, Layer]]] = {text: []}
+    work, news = [text], []
+
+    def add(where: str, what: tuple[str, int, int]) -> None:
+        if what not in (here := found.setdefault(where, set())):
+            here.add(what)
+            news.append((where, what))
+
     while work:
-        layer = work.pop()
-        if layer.lo is not None:
-            found |= {(f"decoded_{k}", *layer.span(a, b)) for k, a, b in scan(layer.text)}
+        at = work.pop()
+        layer = Layer(at)
+        for x in scan(at):
+            add(at, x)
         todo: list[tuple[Callable, int, int]] = []
-        if "%" in layer.text or "\\" in layer.text:
-            todo += [(layer.unescaped, *m.span()) for m in TOKEN.finditer(layer.text) if ESCAPED.search(m[0])]
-        todo += [(layer.unbased, *m.span()) for m in BASE64.finditer(layer.text)]
+        if "%" in at or "\\" in at:
+            todo += [(layer.unescaped, *m.span()) for m in TOKEN.finditer(at) if ESCAPED.search(m[0])]
+        todo += [(layer.unbased, *m.span()) for m in BASE64.finditer(at)]
         for how, a, b in todo:
             try:
                 below = how(a, b, max_layer)
             except Oversize:
-                found.add(("oversize", *layer.span(a, b)))
+                add(at, ("oversize", a, b))
                 continue
-            if below and below.text not in seen:
-                seen.add(below.text)
-                work.append(below)
-    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+            if below:
+                if below.text not in carriers:
+                    carriers[below.text] = []
+                    work.append(below.text)
+                carriers[below.text].append((at, below))
+    while news:
+        at, (kind, a, b) = news.pop()
+        for above, layer in carriers[at]:
+            add(above, (f"decoded_{kind}" if kind in BASE else kind, *layer.span(a, b)))
+    return sorted(found.get(text, ()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def redacted(text: str | None, found: list[tuple[str, int, int]], instead: str = "[SECRET]") -> str | None:

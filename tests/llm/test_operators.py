@@ -122,6 +122,35 @@ def test_secrets_repeated_layer():
     assert left.count("[SECRET]") == 4 and not secrets.spans(left)
 
 
+def test_secrets_all_streams():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    one, two = b"nothing in here " * 9, b"password = hunter2hunter2"
+    for squeeze in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for tail in (b"", b"tail"):
+            x = base64.b64encode(squeeze(one) + squeeze(two) + tail).decode()
+            assert [s[0] for s in secrets.spans(x)] == ["decoded_assign"], squeeze
+    many = base64.b64encode(b"".join(zlib.compress(b"\0" * (1 << 20)) for _ in range(20))).decode()
+    assert [s[0] for s in secrets.spans(many)] == ["oversize"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("after", ["", "end of it", "\nNext line"])
+def test_secrets_wrapped_base64(end, after):
+    import os
+
+    for plain in (b"x" * 40 + b" password = hunter2hunter2 " + b"y" * 60, gzip.compress(os.urandom(200).hex().encode() + b" password = hunter2hunter2")):
+        b = base64.b64encode(plain).decode()
+        text = f"key:{end}" + end.join(b[i : i + 76] for i in range(0, len(b), 76)) + end + after
+        found = [s for s in secrets.spans(text) if s[0] == "decoded_assign"]
+        assert found
+        left = secrets.redacted(text, found)
+        assert not [s for s in secrets.spans(left) if s[0] == "decoded_assign"]
+
+
 def test_language(spark, small, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = {(r.doc_id, r.lang_pred == "und") for r in language.digest(docs, path).collect()}

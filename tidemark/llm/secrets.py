@@ -34,6 +34,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ESCAPED = re.compile(r"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 TOKEN = re.compile(r"\S+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 characters that go on from line to line.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n|\n|\r)[A-Za-z0-9+/_-]++)+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 KINDS = ("assign", "access", "hex", "decoded_assign", "decoded_access", "decoded_hex", "oversize")
 BASE = KINDS[:3]
 MAX_LAYER = 1 << 24
@@ -56,22 +59,34 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def stream(raw: bytes, how: str, most: int) -> tuple[bytes, bytes]:
+    """What the first stream of raw holds, up to most bytes or little more, and what follows it."""
+    if how == "zstd":
+        out, d = bytearray(), zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        for at in range(0, len(raw), 256):  # a block of 4 bytes may hold 128 KB
+            out += d.decompress(raw[at : at + 256])
+            if d.eof:
+                return bytes(out), d.unused_data + raw[at + 256 :]
+            if len(out) >= most:
+                break
+        return bytes(out), b""
+    d = zlib.decompressobj(47) if how == "zlib" else bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()
+    return d.decompress(raw, most), d.unused_data
+
+
 def inflated(raw: bytes, most: int) -> bytes | None:
-    """What compressed data holds; None if it isn't any."""
-    how = next((v for k, v in MAGIC.items() if raw.startswith(k)), None)
-    try:
-        if how == "zlib":
-            out = zlib.decompressobj(47).decompress(raw, most + 1)
-        elif how in ("bz2", "xz"):
-            out = (bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()).decompress(raw, most + 1)
-        elif how == "zstd":
-            out = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw).read(most + 1)
-        else:
-            return None
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
-        return None
-    if len(out) > most:
-        raise Oversize
+    """What compressed data holds, in all of its streams; None if it isn't any. Padding between streams is skipped, and
+    what follows the last one ignored."""
+    out = None
+    while how := next((v for k, v in MAGIC.items() if raw.startswith(k)), None):
+        try:
+            more, raw = stream(raw, how, most + 1 - len(out or b""))
+        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
+            break
+        out = (out or b"") + more
+        if len(out) > most:
+            raise Oversize
+        raw = raw.lstrip(b"\0")
     return out
 
 
@@ -124,12 +139,35 @@ class Layer:
         return self.below(bytes(raw), *self.ends(np.array(at), np.array(to)), True, most)
 
     def unbased(self, a: int, b: int, most: int) -> Layer | None:
-        body = self.text[a:b].rstrip("=")
+        """Base64 from a to b, over line breaks."""
+        at = np.array([i for i in range(a, b) if self.text[i] not in "\r\n"])
+        body = "".join(self.text[a:b].split()).rstrip("=")
         if len(body) % 4 == 1:
             return None
         raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         i = np.arange(len(raw))
-        return self.below(raw, *self.ends(a + i * 4 // 3, np.minimum(a + (i * 4 + 4) // 3 + 1, b)), False, most)
+        return self.below(raw, *self.ends(at[i * 4 // 3], at[np.minimum((i * 4 + 4) // 3, len(at) - 1)] + 1), False, most)
+
+
+def wrapped(text: str) -> set[tuple[int, int]]:
+    """Stretches of base64 lines to join: runs of them with and without the last line, which may be a word of prose, and in
+    each run every block of lines of one length, with and without a shorter line at the end."""
+    out = set()
+    for run in WRAPPED.finditer(text) if "\n" in text or "\r" in text else ():
+        lines = [m.span() for m in LINE.finditer(text, *run.span())]
+        blocks, first = {(0, len(lines)), (0, len(lines) - 1)}, 0
+        length = [b - a for a, b in lines]
+        for i in range(1, len(lines) + 1):
+            if i == len(lines) or length[i] != length[first]:
+                blocks.add((first, i))
+                if i < len(lines) and length[i] < length[first]:
+                    blocks.add((first, i + 1))
+                first = i
+        for i, j in blocks:
+            if j - i > 1 and sum(length[i:j]) >= 16:
+                a, b = lines[i][0], lines[j - 1][1]
+                out.add((a, b + next(k for k in (2, 1, 0) if text.startswith("=" * k, b))))
+    return out
 
 
 def spans(text: str | None, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int]]:
@@ -154,7 +192,7 @@ def spans(text: str | None, max_layer: int = MAX_LAYER) -> list[tuple[str, int,
         todo: list[tuple[Callable, int, int]] = []
         if "%" in at or "\\" in at:
             todo += [(layer.unescaped, *m.span()) for m in TOKEN.finditer(at) if ESCAPED.search(m[0])]
-        todo += [(layer.unbased, *m.span()) for m in BASE64.finditer(at)]
+        todo += [(layer.unbased, a, b) for a, b in sorted({m.span() for m in BASE64.finditer(at)} | wrapped(at))]
         for how, a, b in todo:
             try:
                 below = how(a, b, max_layer)

@@ -21,6 +21,12 @@ def test_query(spark, small, connection, name):
         assert df.count() > 0
 
 
+def test_json_extract_batch_all(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    want = {r.event_type: r.s for r in events.selectExpr("event_type", "cast(get_json_object(props, '$.k') as long) k").groupBy("event_type").agg({"k": "sum"}).withColumnRenamed("sum(k)", "s").collect()}
+    assert {r.event_type: r.s for r in plans.QUERIES["json_extract_batch_all"](spark, small).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -230,6 +230,13 @@ def _(spark, d):
     return docs.select("event_type", F.explode(js.extract_batch(F.col("docs"), "k")).alias("k")).groupBy("event_type").agg(F.sum(F.col("k").cast("long")).alias("s"))
 
 
+@query("json_extract_batch_all", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS s FROM events GROUP BY event_type")
+def _(spark, d):
+    """json_extract_batch over every event."""
+    docs = load(spark, d, "events").select("event_type", F.array("props").alias("docs"))
+    return docs.select("event_type", F.explode(js.extract_batch(F.col("docs"), "k")).alias("k")).groupBy("event_type").agg(F.sum(F.col("k").cast("long")).alias("s"))
+
+
 @query("json_path_stats", "SELECT '$.k' AS path, 'number' AS type, count(*) AS n, 1.0::DOUBLE AS share FROM events")
 def _(spark, d):
     return js.path_stats(load(spark, d, "events"), "props")

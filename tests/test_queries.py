@@ -27,6 +27,14 @@ def test_json_extract_batch_all(spark, small):
     assert {r.event_type: r.s for r in plans.QUERIES["json_extract_batch_all"](spark, small).collect()} == want
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_vec_knn_batch_stated(spark, small, connection, monkeypatch, block):
+    monkeypatch.setattr("tidemark.plans.data.QUERY_BLOCK", block)
+    df = plans.QUERIES["vec_knn_batch_stated"](spark, small)
+    assert {r.q for r in df.select("q").distinct().collect()} == {r.vec_id for r in spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert oracle.compare(df, connection, plans.ORACLE["vec_knn_batch_stated"]) is None
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

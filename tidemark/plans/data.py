@@ -190,6 +190,29 @@ def _(spark, d):
     return held.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("dist", "n"))).where("rn <= 5").select("q", "n")
 
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 1000
+
+
+@query("vec_knn_batch_stated", f"SELECT q, n FROM (SELECT a.vec_id AS q, b.vec_id AS n, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.{E}, b.{E}), b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) x WHERE rn <= 5")
+def _(spark, d):
+    """Every row whose id is divisible by 50 is held against every row, a block of queries at a time."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame, Window
+
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+
+    def nearest(i):
+        mine = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
+        held = e.join(mine, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("n"), vector.l2_distance(F.col("embedding"), F.col("v")).alias("dist"))
+        return held.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("dist", "n"))).where("rn <= 5").select("q", "n")
+
+    return reduce(DataFrame.unionByName, map(nearest, range(blocks)))
+
+
 # JSON
 
 

@@ -191,12 +191,31 @@ def test_toxicity_learns(spark, docs):
     assert toxicity.digest(docs.limit(0), labels).count() == 0
 
 
+def test_packing_ids():
+    """Plain tokenizers, also for added tokens, letters that few know, and parts met once the cache is full."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a <|endoftext|> b", "A <|ENDOFTEXT|> b", "x<|endoftext|>.", "<|startoftext|><|endoftext|>", "Ab<|endoftext|>Cd.", "İİ ΛΟΓΟΣ. ſtk K, don't. '.", "a.,b ., .", "e\u0301́ É.", " ̈x", "\xa0a\u2003b\tc\r\n d", "日本 🎉 ǅ ª ʰ ٣ Ⅷ", "", None, "  ", "x" * 5000 + " a", *[x for _, x in texts()]]
+    for cached in (10**6, 5):
+        e = packing.Encoder(path)
+        packing.CACHED, before = cached, packing.CACHED
+        try:
+            for _ in range(2):
+                ids, n = e.encode(pa.array(odd, pa.string()))
+                got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+                assert got == [t.encode(x or "", add_special_tokens=False).ids for x in odd]
+        finally:
+            packing.CACHED = before
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = sorted((repr(i), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in ((i, t.encode(x or "", add_special_tokens=False).ids + [1]) for i, x in texts()))
     pieces = packing.pack(docs, path, ids=True).orderBy("sequence_id", "offset").collect()
     assert [p.sequence_id * 2048 + p.offset for p in pieces] == np.r_[0, np.cumsum([p.length for p in pieces])[:-1]].tolist()

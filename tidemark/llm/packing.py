@@ -14,11 +14,13 @@ An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,44 +28,99 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh, scratch
 
 LENGTH, END = 2048, 1
-#: Distinct space-separated parts of texts whose ids a worker keeps, and the longest part that it keeps.
+#: Distinct parts of texts whose ids a worker keeps, and the longest part that it keeps.
 CACHED, LONGEST = 500_000, 64
 ENDS = (".", ",")
-#: Texts, and new parts of texts, that are encoded at once.
-TEXTS, BATCH = 200, 10_000
+#: Bytes of texts that are encoded at once, a longer text alone; new parts that go to the tokenizer at once and in one text.
+BYTES, BATCH, JOINED = 16_000_000, 20_000, 200
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned 16-bit numbers. The vocabulary's pre-tokenizer drops white space and
-    no token crosses it, so texts are encoded by the parts between spaces and line ends, each different part once."""
+    """Ids of texts as plain `tokenizers` gives them, with add_special_tokens=False. The vocabulary's pre-tokenizer drops white space
+    and no token crosses it, so texts are cut at spaces and line ends, and each different part is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings are ordinary text here
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        # ASCII texts are lower-cased here, as the vocabulary does anyway: fewer different parts
-        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [""] for t in texts]
-        known = self.known
-        new = set().union(*parts).difference(known)
-        # letters and one stop or comma are two pre-tokens: only the letters are encoded and kept
-        ended = {p for p in new if p[-1:] in ENDS and p[:-1].lower().isalpha()}
-        whole = list({*new.difference(ended), *(p[:-1] for p in ended), *ENDS}.difference(known))
-        for i in range(0, len(whole), BATCH):
-            some = whole[i : i + BATCH]
-            known.update(zip(some, (array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        known.update({p: known[p[:-1]] + known[p[-1]] for p in ended})
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.known: dict[str, int] = {}  # which stretch of ids a part has
+        self.start, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.add(["", *ENDS])
+
+    def listed(self, parts: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.size), len(self.size) + len(parts))))
+        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
+    def add(self, parts: list[str]) -> None:
+        """Parts of letters alone are one pre-token each, and the last id of a pre-token says so: many are encoded as one text."""
+        letters, other = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        for i in range(0, len(letters), BATCH):
+            some = letters[i : i + BATCH]
+            joined = self.tokenizer.encode_batch_fast([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint16) for e in joined])
+            upto = np.flatnonzero(self.ends[ids]) + 1
+            if len(upto) == len(some):
+                self.listed(some, np.diff(upto, prepend=0).astype(np.int32), ids)
+            else:  # letters to Python and not to the pre-tokenizer
+                other += some
+        for i in range(0, len(other), BATCH):
+            some = other[i : i + BATCH]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int32, len(found))
+            self.listed(some, size, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum())))
+
+    def stretch(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of slots one after another."""
+        n = self.size[slots]
+        upto = np.cumsum(n)
+        return self.ids[np.arange(upto[-1] if len(n) else 0, dtype=np.int32) + np.repeat(self.start[slots] - (upto - n).astype(np.int32), n)]
+
+    def learn(self, parts: list[str]) -> None:
+        """Lists the ids of parts that aren't known. The vocabulary lower-cases all but its added tokens, and letters and one stop or
+        comma are two pre-tokens: only lower-cased letters are encoded."""
+        bare, tail = [], []
+        for p in parts:
+            low = p.lower()
+            if p[-1:] in ENDS and p[:-1].isalpha():
+                bare.append(low[:-1] if p.isascii() else p[:-1])
+                tail.append(1 + ENDS.index(p[-1]))
+            else:
+                bare.append(low if p.isascii() and not any(a in low for a in self.added) else p)
+                tail.append(0)
+        self.add(sorted(set(bare).difference(self.known)))
+        other = [(p, self.known[b], t) for p, b, t in zip(parts, bare, tail) if p != b]
+        both = np.array([x[1:] for x in other], np.int32).ravel()
+        self.listed([x[0] for x in other], self.size[both].reshape(-1, 2).sum(1, dtype=np.int32), self.stretch(both))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and how many each text has."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        parts, before = coded.dictionary.to_pylist(), (len(self.known), len(self.size), len(self.ids))
+        full = before[0] > CACHED
+        slots = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int32, len(parts))
+        at = np.flatnonzero(slots < 0)
+        new = [parts[k] for k in at]
+        self.learn([p for p in new if len(p) <= LONGEST] if not full else new)
+        if not full:
+            before = (len(self.known), len(self.size), len(self.ids))
+            self.learn([p for p in new if len(p) > LONGEST])
+        slots[at] = np.fromiter(map(self.known.__getitem__, new), np.int32, len(new))
+        slots = slots[coded.indices.to_numpy()]
+        ids, upto = self.stretch(slots), np.r_[0, np.cumsum(self.size[slots])]
+        n = np.diff(upto[np.r_[0, np.cumsum(np.diff(split.offsets.to_numpy()))]])
         # frequent parts are met early: once the cache is full, what is new is let go
-        full = len(known) - len(ended) > CACHED
-        for p in ended.union(p for p in whole if full or len(p) > LONGEST):
-            known.pop(p, None)
-        return out
+        while len(self.known) > before[0]:
+            self.known.popitem()
+        self.start, self.size, self.ids = self.start[: before[1]], self.size[: before[1]], self.ids[: before[2]]
+        return ids, n
 
 
 _encoders: dict[str, Encoder] = {}
@@ -76,24 +133,37 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows whose sizes add up to at most `most`, or one row."""
+    first, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and total + n > most:
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """(id, task, before, n, ids), stored: ids end with the end id; before: tokens that the task wrote before."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        task, done, last = TaskContext.get().partitionId(), 0, np.array([end], "<u2").tobytes()
-        for x in fresh(parts):
-            for i in range(0, len(x), TEXTS):
-                y = x.iloc[i : i + TEXTS]
-                ids = [e + last for e in encoder(path).encode(y["t"].tolist())]
-                n = np.array([len(e) // 2 for e in ids], np.int64)
-                yield pd.DataFrame({"id": y["id"].to_numpy(), "task": task, "before": done + np.cumsum(n) - n, "n": n, "ids": ids})
-                done += int(n.sum())
-
-    # ids travel as text: pandas would turn numbers with nulls into floats
-    df = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t")).mapInPandas(run, f"id string, task int, before bigint, n bigint, ids binary")
+        task, done = TaskContext.get().partitionId(), 0
+        for x in fresh(batches):
+            for a, b in stretches(pc.fill_null(pc.binary_length(x["t"]), 0).to_numpy(), BYTES):
+                ids, n = encoder(path).encode(x["t"].slice(a, b - a))
+                ids, n = np.insert(ids, np.cumsum(n), end).astype("<u2"), n + 1
+                upto = np.cumsum(n)
+                body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * np.r_[0, upto]).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([x["id"].slice(a, b - a), pa.array(np.full(len(n), task, np.int32)), pa.array(done + upto - n), pa.array(n), body], ["id", "task", "before", "n", "ids"])
+                done += int(upto[-1])
+
+    # ids travel as text: pandas, which reads them later, would turn numbers with nulls into floats
+    df = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id string, task int, before bigint, n bigint, ids binary")
     df.write.option("compression", "zstd").parquet(at := scratch(docs.sparkSession, "tokens"))
     return docs.sparkSession.read.parquet(at)
 

@@ -63,7 +63,11 @@ def windows(text, n=13):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def contamination(docs, items, n=13):
+def near(doc, window, slop):
+    return any(all(x in doc[s + o : s + o + slop + 1] for o, x in enumerate(window)) for s in range(len(doc)))
+
+
+def contamination(docs, items, n=13, slop=2):
     """docs, items: lists of (id, text)."""
     by: dict = {}
     for i, t in items:
@@ -77,7 +81,8 @@ def contamination(docs, items, n=13):
                 if (x := tuple(w[p : p + k])) in by:
                     hit |= set(range(p, p + k))
                     found |= by[x]
-        yield dict(doc_id=d, n_words=len(w), n_hit=len(hit), n_items=len(found), items_sha256=sha(",".join(sorted(map(str, found)))), contaminated=bool(hit) and 20 * len(hit) >= len(w))
+        close = found.union(*(i for x, i in by.items() if len(x) == n and x[0] in w and near(w, x, slop)))
+        yield dict(doc_id=d, n_near=len(close), n_words=len(w), n_hit=len(hit), n_items=len(found), items_sha256=sha(",".join(sorted(map(str, found)))), contaminated=bool(hit) and 20 * len(hit) >= len(w))
 
 
 def fingerprint(text):

@@ -61,16 +61,56 @@ def test_decontamination(spark, docs):
     assert decontaminate.digest(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.digest(docs.limit(0), bench).count() == 0
     kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not w["contaminated"] for w in want)
-
-
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "p q r s"), (2, "p x q r s"), (3, "p x x x x q r s")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "p q r s")], "item_id long, text string")
-    probed = decontaminate.probe_terms(d, decontaminate.windows(b), 4, "doc_id", "text")
-    index = decontaminate.index(d, probed, "doc_id", "text")
-    found = lambda slop: {r.key for r in decontaminate.near(index, probed, slop).collect()}
-    assert found(0) == {1} and found(1) == {1, 2} and found(4) == {1, 2, 3}
+    assert kept.columns == docs.columns and kept.count() == sum(w["n_hit"] == 0 and w["n_near"] == 0 for w in want)
+
+
+def test_decontamination_folds_words_alike(spark):
+    """A capital sigma is lower-cased by what follows it, and other letters turn into ASCII ones."""
+    rows = [(i, t) for i, t in enumerate(["ΛΟΓΟΣ.ΑΒΓ alpha beta gamma delta", "ΛΟΓΟΣ ΑΒΓ ΣΑΣ' Σ:x beta K İ ß", "alpha ΛΟΓΟΣ ΑΒΓ alpha beta gamma delta"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(rows[:2], "item_id long, text string")
+    want = list(brute.contamination(rows, rows[:2]))
+    assert [w["n_hit"] for w in want] == [6, 9, 6]
+    same(decontaminate.digest(d, b), want)
+
+
+@pytest.mark.parametrize("whole_index", [False, True])
+def test_proximity(spark, whole_index):
+    """Windows of all 13 words with words put in, left out, exchanged or moved, at the ends of masks too; an index of all terms is read
+    for two benchmarks."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(60)] + ["the"] * 20
+    items = [(i, " ".join(rng.choice(vocabulary, 13 + i % 4))) for i in range(12)] + [(12, "the the the w1")]
+    rows = []
+    for k in range(150):
+        w = list(rng.choice(vocabulary, 30 + k))
+        piece = items[k % 12][1].split()
+        for _ in range(k % 5):
+            at = int(rng.integers(1, len(piece)))
+            piece[at:at] = ["x"] if k % 3 else []
+            if k % 7 == 0:
+                del piece[at]
+            if k % 4 == 0 and at + 1 < len(piece):
+                piece[at], piece[at + 1] = piece[at + 1], piece[at]
+        at = int(rng.integers(0, len(w)))
+        rows.append((k, " ".join(w[:at] + piece + w[at:])))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    postings = decontaminate.index(d) if whole_index else None
+    for some in (items, items[:3]):
+        want = list(brute.contamination(rows, some))
+        assert sum(w["n_near"] > w["n_items"] for w in want) > 5
+        got = decontaminate.contamination(d, spark.createDataFrame(some, "item_id long, text string"), postings=postings)
+        same(got.select("doc_id", "n_words", "n_hit", "n_items", "n_near"), [{k: w[k] for k in ("doc_id", "n_words", "n_hit", "n_items", "n_near")} for w in want])
+
+
+def test_beyond_broadcast(spark, docs, monkeypatch):
+    """The same rows where nothing may be broadcast."""
+    from tidemark.llm import common
+
+    bench = spark.createDataFrame([(1, " ".join(WORDS)), (2, texts()[8][1]), (3, "alpha beta")], "item_id long, text string")
+    want = sorted(map(repr, decontaminate.digest(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "bounded", lambda df: common.bounded(df, -1))
+    assert sorted(map(repr, decontaminate.digest(docs, bench).collect())) == want
 
 
 def test_simhash(docs):

@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words: ASCII white space; or ASCII that is neither letter nor digit.
 SPACES = r"[\x20\x09-\x0D]+"
 NON_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a table of a few short columns is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +33,29 @@ def split_words(text: Column, between: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), between), "")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a hint to broadcast it, if it has no more than so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def weight(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 16, and 8 for each number, the length of each text, and that of each list by its elements."""
+
+    def of(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, ArrayType):
+            each = kind.elementType
+            fields = [f.dataType for f in each.fields] if isinstance(each, StructType) else [each]
+            if not any(isinstance(f, (StringType, BinaryType, ArrayType, StructType)) for f in fields):
+                return F.coalesce(F.size(c), F.lit(0)) * (8 * len(fields) + 8)
+            return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + of(x, each)), F.lit(0))
+        if isinstance(kind, StructType):
+            return sum((of(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a hint to broadcast it, if all its rows together have no more than so many bytes; else no side is broadcast by
+    this. df is computed once for that, so it's best a stored one."""
+    return F.broadcast(df) if (df.agg(F.sum(weight(df)).alias("b")).first().b or 0) <= most else df
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.common import NON_WORDS, split_words, stored
-from tidemark.llm.decontaminate import BROADCAST_BYTES
+from tidemark.llm.common import NON_WORDS, bounded, split_words, stored
 
 K, SLACK, LEAST_HITS, LEAST_SHARE = 3, 2, 0.5, 0.7
 
@@ -100,8 +99,7 @@ def licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: in
     found = candidates(docs, templates, k, slack, least, doc_id, text)
     # as many as a text has places for templates
     found = stored(found.groupBy("key", "mark").agg(F.collect_list(F.struct("template", "start", "end")).alias("c")), "licenses")
-    size = found.agg(F.sum(F.size("c") * 12 + 40).alias("b")).first().b or 0
-    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
+    found = bounded(found)
     df = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     df = df.join(found, F.col("id").eqNullSafe(F.col("key")) & (F.col("h") == F.col("mark")), "left")
     df = df.select("id", "c", "t", split_words(F.col("t"), NON_WORDS).alias("w"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm import decontaminate
 from tidemark.llm.quality import RULES, STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS + [w.capitalize() for w in STOP_WORDS]))
@@ -27,15 +28,23 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT * EXCLUDE (b), NOT base_failed AND len(b) = 0 AS kept, coalesce(array_to_string(b, ','), '') AS broken_rules FROM v"""
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_N, _SLOP = decontaminate.N, decontaminate.SLOP
 OP2 = rf"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, array_to_string(w[s : s + 12], ' ') AS x, least(len(w), 13) AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0) u),
+win AS (SELECT DISTINCT item_id, array_to_string(w[s : s + {_N - 1}], ' ') AS x, least(len(w), {_N}) AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {_N - 1}, 1) + 1)) AS s FROM i WHERE len(w) > 0) u),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 place AS (SELECT doc_id, s, k, array_to_string(w[s : s + k - 1], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win) ks) u),
 found AS (SELECT doc_id, s, place.k, place.x FROM place SEMI JOIN win ON place.x = win.x AND place.k = win.k),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) x GROUP BY doc_id),
-items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM found JOIN win ON found.x = win.x AND found.k = win.k GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM found JOIN win ON found.x = win.x AND found.k = win.k GROUP BY doc_id),
+occ AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+freq AS (SELECT t, count(*) AS n FROM occ GROUP BY t),
+term AS (SELECT x, unnest(string_split(x, ' ')) AS t, unnest(range(k)) AS o FROM (SELECT DISTINCT x, k FROM win WHERE k = {_N}) u),
+rare AS (SELECT x, arg_min(t, (coalesce(n, 0), t, o)) AS t, arg_min(o, (coalesce(n, 0), t, o)) AS o FROM term LEFT JOIN freq USING (t) GROUP BY x),
+cand AS (SELECT DISTINCT doc_id, x, s FROM (SELECT doc_id, x, p - o - unnest(range({_SLOP + 1})) AS s FROM occ JOIN rare USING (t)) u WHERE s >= 0),
+near AS (SELECT DISTINCT doc_id, x FROM cand JOIN d USING (doc_id) WHERE len(list_filter(range({_N}), lambda o: list_contains(w[s + o + 1 : s + o + {_SLOP + 1}], string_split(x, ' ')[o + 1]))) = {_N}),
+n_near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (SELECT doc_id, x FROM near UNION SELECT doc_id, x FROM found) u JOIN win USING (x) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated, coalesce(n_near.n, 0)::BIGINT AS n_near FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN n_near ON n_near.doc_id = d.doc_id"""
 
 OP9 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

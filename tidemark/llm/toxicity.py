@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, fresh, held_out
+from tidemark.llm.common import fresh, held_out
 
 WORD = re.compile(r"[^\W_]+")
 WIDTHS, FILTERS, DIM, EPOCHS, BATCH = (1, 2, 3), 12, 8, 6, 32
@@ -181,7 +181,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pd
     """(text, toxic, fold): at most per_class labelled texts of each class, drawn by the hash of their ids."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "toxic").dropDuplicates(["id"])
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(bounded(drawn[0].unionByName(drawn[1]), 2 * per_class), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
     fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("int")
     return texts.select("id", "text", "toxic", fold.alias("fold")).orderBy("id", "text").limit(4 * per_class).toPandas()
 

@@ -32,7 +32,7 @@ LENGTH, END = 2048, 1
 CACHED, LONGEST = 500_000, 64
 ENDS = (".", ",")
 #: Bytes of texts that are encoded at once, a longer text alone; new parts that go to the tokenizer at once and in one text.
-BYTES, BATCH, JOINED = 16_000_000, 20_000, 200
+BYTES, BATCH, JOINED = 8_000_000, 20_000, 200
 
 
 class Encoder:
@@ -49,6 +49,10 @@ class Encoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets all ids go: a worker keeps no cache from one task to the next, as most of what a task meets is new to it."""
         self.known: dict[str, int] = {}  # which stretch of ids a part has
         self.start, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
         self.add(["", *ENDS])
@@ -161,6 +165,9 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
                 body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * np.r_[0, upto]).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([x["id"].slice(a, b - a), pa.array(np.full(len(n), task, np.int32)), pa.array(done + upto - n), pa.array(n), body], ["id", "task", "before", "n", "ids"])
                 done += int(upto[-1])
+                del ids, n, upto, body
+                pa.default_memory_pool().release_unused()
+        encoder(path).forget()
 
     # ids travel as text: pandas, which reads them later, would turn numbers with nulls into floats
     df = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id string, task int, before bigint, n bigint, ids binary")

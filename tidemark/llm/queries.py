@@ -1,11 +1,10 @@
-"""Queries over the whole tables, one for each operator, and the pipeline; ORACLE has the same as DuckDB SQL where SQL can say it."""
+"""Queries over the whole tables, one for each operator; ORACLE has the same as DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tidemark.llm import decontaminate, language, licenses, packing, pii, secrets, simhash, toxicity, warc
 from tidemark.llm.common import table
 from tidemark.llm.oracle import ORACLE  # noqa: F401
@@ -63,5 +62,4 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
-    "pipeline": corpus_pipeline.run,
 }

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, fresh, stored
+from tidemark.llm.common import BROADCAST_BYTES, bounded, fresh, stored
 
 BITS, CHUNK = 64, 4096
 #: How many (fingerprint, block) pairs are compared at once.
@@ -217,19 +217,32 @@ def links(prints: DataFrame, radius: int, extra: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b), a > b, reaches. Alternates large-star and
-    small-star steps; each step is an aggregation for the least neighbour and a join, and its result is written out."""
+    small-star steps; each step is an aggregation for the least neighbour and a join, and its result is written out.
+
+    A node may have most edges, the smallest one of a large component: the least neighbours, one row for each node, are
+    broadcast while the count of edges says that they are small, and beyond that AQE splits the node's edges."""
     edges, before = stored(edges.select("a", "b").distinct(), "edges"), None
+    n = edges.count()
     while True:
+        small_enough = F.broadcast if 2 * n * 32 <= BROADCAST_BYTES else lambda df: df
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(small_enough(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = large.join(small_enough(least), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a > b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, n = now, now.n
+
+
+def named_by_root(firsts: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """(key, first), stored: for each row (key, first) of firsts the least first of its component in found (node, root). A component
+    may hold most rows: the least of each is aggregated partly before it is dealt out, and broadcast by its measured bytes."""
+    df = stored(firsts.join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("root"), "first"), "named")
+    names = stored(df.groupBy("root").agg(F.min("first").alias("first")), "names")
+    return stored(df.drop("first").join(bounded(names), "root").select(key, "first"), "named")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,10 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
     # equal fingerprints are partly aggregated before they are dealt out
     firsts = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")), "firsts")
     found = components(links(firsts.select("fp"), radius, pieces(radius, firsts.count())))
-    named = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    names = named.groupBy("root").agg(F.min("first").alias("first"))
-    named = named.drop("first").join(names, "root").select("fp", "first")
-    return prints.join(named, "fp").select("id", "mark", "fp", "first")
+    return prints.join(bounded(named_by_root(firsts, "fp", found)), "fp").select("id", "mark", "fp", "first")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Plain Python versions of what the operators compute, straight from their contracts."""
 
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -54,6 +55,70 @@ def secrets(text):
     return {f"n_{k}": sum(x == k for x, _ in found) for k in kinds} | {"base_sha256": sha(",".join(f"{k}:{m.start()}:{m.end()}" for k, m in found))}
 
 
+def unpacked(raw):
+    """What data in one of the formats holds, in all its streams; None if it is in none."""
+    import bz2
+    import lzma
+    import zlib
+
+    import zstandard
+
+    makers = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78": zlib.decompressobj, b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ": lzma.LZMADecompressor, b"\x28\xb5\x2f\xfd": lambda: zstandard.ZstdDecompressor().decompressobj()}
+    out = None
+    while raw and (make := next((m for k, m in makers.items() if raw.startswith(k)), None)):
+        try:
+            d = make()
+            out = (out or b"") + d.decompress(raw)
+        except Exception:
+            break
+        raw = d.unused_data
+    return out
+
+
+def secret_spans(text, above=()):
+    """Every layer opened where it stands, by recursion; each code point of a layer knows the places it comes from."""
+    found = set()
+    for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
+        found |= {("assign", *m.span())} if len(m.group(2)) >= 8 else set()
+    found |= {("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16}
+    found |= {("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32}
+    layers = []  # bytes, each with its (start, end)
+    escape = re.compile(r"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+    for t in re.finditer(r"\S+", text):
+        if escape.search(t.group()):
+            one, at = [], t.start()
+            while at < t.end():
+                m = escape.match(text, at)
+                raw = text[at].encode() if not m else chr(int(m[2], 16)).encode() if m[2] else bytes([int(m[1] or m[3], 16)])
+                end = m.end() if m else at + 1
+                one += [(b, at, end) for b in raw]
+                at = end
+            layers.append((one, True))
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", text):
+        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+        if len(body) % 4 != 1:
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            layers.append(([(b, m.start() + i * 4 // 3, min(m.start() + (i * 4 + 4) // 3, m.end() - 1) + 1) for i, b in enumerate(raw)], False))
+    for one, sure in layers:
+        raw = bytes(b for b, _, _ in one)
+        while (more := unpacked(raw)) is not None:
+            sure, one, raw = True, [(b, min(x[1] for x in one), max(x[2] for x in one)) for b in more], more
+        try:
+            below, at = raw.decode(), []
+            for c in below:
+                n = sum(len(x) for x in at)
+                at.append(one[n : n + len(c.encode())])
+        except UnicodeDecodeError:
+            if not sure:
+                continue
+            below, at = raw.decode("latin-1"), [[x] for x in one]
+        if below and below not in above and below != text and (sure or all(c.isprintable() or c in "\t\r\n" for c in below)):
+            for kind, a, b in secret_spans(below, (*above, text)):
+                part = [x for c in at[a:b] for x in c]
+                found.add((kind if kind.startswith("decoded") else f"decoded_{kind}", min(x[1] for x in part), max(x[2] for x in part)))
+    return found
+
+
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
 

@@ -1,12 +1,15 @@
 """Secret scans with a decoding worklist: nested URL, Unicode, base64 and compressed layers are unwrapped until nothing new
 comes, each layer is scanned again, and what is found there is mapped back to the span of the text that carries it.
 
-A layer text is opened once for each text, so that cycles end; what it holds is mapped to every place that carries it. An inflated layer of more than `max_layer` bytes
-is not opened either: it is reported as a span of kind `oversize`, so that memory is bounded and nothing passes unseen.
+A layer text is opened once for each text, so that cycles end; what it holds is mapped to every place that carries it. Compressed
+data that inflates to compressed data is followed until it doesn't or comes back to what it was. An inflated layer of more than
+`max_layer` bytes, and any that comes after a text's layers have inflated to `max_total` together, isn't opened: it is reported as a
+span of kind `oversize`, so that memory and time are bounded and nothing passes unseen.
 
 Kinds: assign, access and hex in the text itself; decoded_assign, decoded_access, decoded_hex and oversize by the method.
-Defined results: null and empty texts have no spans. One row out for each row in, null or repeated ids carried through; other
-columns are ignored unless they are named in keep.
+Defined results: null and empty texts have no spans, an empty table gives an empty one. Spans that tie in start are in the order of
+kinds, then by end. One row out for each row in, null or repeated ids carried through; other columns are ignored, whatever their
+names, unless they are named in keep. Whole texts are scanned, however long.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n|\n|\r)[A-
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 KINDS = ("assign", "access", "hex", "decoded_assign", "decoded_access", "decoded_hex", "oversize")
 BASE = KINDS[:3]
-MAX_LAYER = 1 << 24
+MAX_LAYER, MAX_TOTAL = 1 << 24, 1 << 26
 #: First bytes of compressed data.
 MAGIC = {b"\x1f\x8b": "zlib", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib", b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
@@ -90,29 +93,54 @@ def inflated(raw: bytes, most: int) -> bytes | None:
     return out
 
 
+class Room:
+    """How much a text's layers may still inflate to."""
+
+    def __init__(self, layer: int, total: int):
+        self.layer, self.total = layer, total
+        self.known: dict[bytes, bytes | None] = {}
+
+    def inflated(self, raw: bytes) -> bytes | None:
+        if not raw.startswith(tuple(MAGIC)):
+            return None
+        if raw not in self.known:
+            most = min(self.layer, self.total)
+            try:
+                self.known[raw] = out = inflated(raw, most)
+            except Oversize:
+                self.total -= most
+                raise
+            self.total -= len(out or b"")
+        return self.known[raw]
+
+
 class Layer:
-    """A text, and for each of its code points the start and end in the original; None for the original itself."""
+    """A text, and for each of its code points the start and end in the text that carries it: arrays, one number for all of them, or None
+    for the original itself."""
 
-    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
+    def __init__(self, text: str, lo: np.ndarray | int | None = None, hi: np.ndarray | int | None = None):
         self.text, self.lo, self.hi = text, lo, hi
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.lo is None else (int(self.lo[a:b].min()), int(self.hi[a:b].max()))
-
-    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the stretches a to b, one by one."""
-        return (a, b) if self.lo is None else (self.lo[a], self.hi[b - 1])
+        if self.lo is None or isinstance(self.lo, int):
+            return (a, b) if self.lo is None else (self.lo, self.hi)
+        return int(self.lo[a:b].min()), int(self.hi[a:b].max())
 
-    def below(self, raw: bytes, lo: np.ndarray, hi: np.ndarray, sure: bool, most: int) -> Layer | None:
+    def below(self, raw: bytes, lo: np.ndarray, hi: np.ndarray, sure: bool, room: Room) -> Layer | None:
         """The layer of bytes whose places are known; compressed bytes all stand for the whole of their carrier."""
-        while (more := inflated(raw, most)) is not None:
+        seen = set()
+        while (more := room.inflated(raw)) is not None:
+            if more in seen:
+                return None  # what it inflates to has been opened: it holds nothing but itself
+            seen.add(more)
             raw, sure = more, True
-            lo, hi = np.full(len(raw), lo.min() if len(lo) else 0), np.full(len(raw), hi.max() if len(hi) else 0)
+            lo, hi = int(np.min(lo)) if np.size(lo) else 0, int(np.max(hi)) if np.size(hi) else 0
         try:
             text = raw.decode()
-            first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-            last = np.r_[first[1:], len(raw)] - 1 if len(raw) else first
-            lo, hi = lo[first], hi[last]
+            if not isinstance(lo, int):
+                first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                last = np.r_[first[1:], len(raw)] - 1 if len(raw) else first
+                lo, hi = lo[first], hi[last]
         except UnicodeDecodeError:
             if not sure:
                 return None
@@ -121,7 +149,7 @@ class Layer:
             return None
         return Layer(text, lo, hi) if text else None
 
-    def unescaped(self, a: int, b: int, most: int) -> Layer | None:
+    def unescaped(self, a: int, b: int, room: Room) -> Layer | None:
         raw, at, to, pos = bytearray(), [], [], a
         part = self.text[a:b]
         for m in [*ESCAPED.finditer(part), None]:
@@ -136,9 +164,9 @@ class Layer:
                 at += [a + m.start()] * len(c)
                 to += [a + m.end()] * len(c)
                 pos = a + m.end()
-        return self.below(bytes(raw), *self.ends(np.array(at), np.array(to)), True, most)
+        return self.below(bytes(raw), np.array(at), np.array(to), True, room)
 
-    def unbased(self, a: int, b: int, most: int) -> Layer | None:
+    def unbased(self, a: int, b: int, room: Room) -> Layer | None:
         """Base64 from a to b, over line breaks."""
         at = np.array([i for i in range(a, b) if self.text[i] not in "\r\n"])
         body = "".join(self.text[a:b].split()).rstrip("=")
@@ -146,7 +174,7 @@ class Layer:
             return None
         raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         i = np.arange(len(raw))
-        return self.below(raw, *self.ends(at[i * 4 // 3], at[np.minimum((i * 4 + 4) // 3, len(at) - 1)] + 1), False, most)
+        return self.below(raw, at[i * 4 // 3], at[np.minimum((i * 4 + 4) // 3, len(at) - 1)] + 1, False, room)
 
 
 def wrapped(text: str) -> set[tuple[int, int]]:
@@ -170,14 +198,14 @@ def wrapped(text: str) -> set[tuple[int, int]]:
     return out
 
 
-def spans(text: str | None, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int]]:
+def spans(text: str | None, max_layer: int = MAX_LAYER, max_total: int = MAX_TOTAL) -> list[tuple[str, int, int]]:
     """All spans by start, then kind as listed. Each different layer text is opened once; what is found in it goes to
     every place that carries it, and from there on to the carriers of that text, until nothing is added."""
     if not text:
         return []
     found: dict[str, set[tuple[str, int, int]]] = {}
     carriers: dict[str, list[tuple[str, Layer]]] = {text: []}
-    work, news = [text], []
+    work, news, room = [text], [], Room(max_layer, max_total)
 
     def add(where: str, what: tuple[str, int, int]) -> None:
         if what not in (here := found.setdefault(where, set())):
@@ -195,7 +223,7 @@ def spans(text: str | None, max_layer: int = MAX_LAYER) -> list[tuple[str, int,
         todo += [(layer.unbased, a, b) for a, b in sorted({m.span() for m in BASE64.finditer(at)} | wrapped(at))]
         for how, a, b in todo:
             try:
-                below = how(a, b, max_layer)
+                below = how(a, b, room)
             except Oversize:
                 add(at, ("oversize", a, b))
                 continue

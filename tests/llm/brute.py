@@ -184,3 +184,30 @@ def licenses(text):
         q = p.split()
         at += [(i, label) for i in range(len(w)) if w[i : i + len(q)] == q]
     return dict(n_words=len(w), n_base=len(at), first_word=min(at)[0] if at else None, last_word=max(at)[0] if at else None, base_labels=",".join(sorted({x for _, x in at})))
+
+
+def license_spans(text, templates, k, slack, least, share):
+    """(label, start, end, share) by diagonals, one text and template after another, and plain tables for the common subsequence."""
+    w, out = words(text), []
+    for label, notice in templates:
+        t = words(notice)
+        hits = sorted((i - j, i, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k])
+        bands: list = []
+        for h in hits:
+            if not bands or h[0] - bands[-1][-1][0] > slack:
+                bands.append([])
+            bands[-1].append(h)
+        for b in bands:
+            of = len(t) - k + 1
+            if len({j for _, _, j in b}) < max(1, -(-(of * least * 10) // 10)):
+                continue
+            start, end = min(i for _, i, _ in b), max(i for _, i, _ in b) + k
+            span = w[start:end]
+            table = [[0] * (len(t) + 1) for _ in range(len(span) + 1)]
+            for x in range(len(span)):
+                for y in range(len(t)):
+                    table[x + 1][y + 1] = table[x][y] + 1 if span[x] == t[y] else max(table[x][y + 1], table[x + 1][y])
+            s = 2 * table[-1][-1] / (len(t) + len(span))
+            if s >= share:
+                out.append((label, start, end, s))
+    return out

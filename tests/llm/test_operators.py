@@ -233,6 +233,37 @@ def test_secrets_wrapped_base64(end, after):
         assert not [s for s in secrets.spans(left) if s[0] == "decoded_assign"]
 
 
+def test_licenses_votes(spark):
+    """Whole, shortened, lengthened, reordered and repeated notices among other words."""
+    rng = np.random.default_rng(2)
+    notices = [t.text for t in licenses.TEMPLATES]
+    rows = []
+    for k in range(120):
+        w = notices[k % len(notices)].split()
+        how = k % 6
+        if how == 1:
+            a = int(rng.integers(0, len(w)))
+            del w[a : a + max(1, len(w) // 5)]
+        if how == 2:
+            for _ in range(3):
+                w.insert(int(rng.integers(0, len(w))), "or")
+        if how == 3:
+            rng.shuffle(w)
+        if how == 4:
+            w = w + ["and", "then"] * 20 + w
+        if how == 5:
+            w = w[: len(w) // 2]
+        rows.append((k, " ".join([*rng.choice(WORDS, 30), *w, *rng.choice(WORDS, 30)])))
+    rows += [(200, "we discuss the MIT License versus others"), (201, "\n\n".join(t.text for t in licenses.TEMPLATES if t.label == "mit")), (202, None), (203, ""), (204, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction")]
+    settings = (licenses.K, licenses.SLACK, licenses.LEAST_HITS, licenses.LEAST_SHARE)
+    want = {i: sorted(brute.license_spans(t, licenses.TEMPLATES, *settings)) for i, t in rows}
+    assert 60 < sum(map(bool, want.values())) < 120 and [x[0] for x in want[204]] == ["mit"]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: sorted(map(tuple, r.spans)) for r in licenses.licenses(d).collect()}
+    assert got == want
+    same(licenses.digest(d).select("doc_id", "labels", "score"), [{"doc_id": i, "labels": ",".join(sorted({x[0] for x in want[i]} | set(filter(None, (b := brute.licenses(t))["base_labels"].split(","))))), "score": max([0.5 if b["n_base"] else 0.0, *(x[3] for x in want[i])])} for i, t in rows])
+
+
 def test_language(spark, small, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = {(r.doc_id, r.lang_pred == "und") for r in language.digest(docs, path).collect()}

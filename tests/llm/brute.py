@@ -34,14 +34,52 @@ def luhn(digits):
     return s % 10 == 0
 
 
+def mod97(iban):
+    x = re.sub("[^A-Z0-9]", "", iban)
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+#: By kind: weight, what a context word adds, the context words, the least score.
+PII = {
+    "email": (0.9, 0.1, "email e-mail mail contact write kontakt correo", 0),
+    "ip": (0.6, 0.3, "host server address adresse ip", 0),
+    "card": (0.7, 0.3, "card visa credit karte carte tarjeta", 0),
+    "phone": (0.7, 0.3, "phone telephone call tel mobile fax anruf", 0),
+    "iban": (0.8, 0.2, "iban bank account konto compte cuenta", 0),
+    "ssn": (0.3, 0.5, "ssn social_security tax_id", 0.5),
+}
+
+
 def pii(text):
-    t, out = text or "", {}
+    t, every, out, spans = text or "", {}, {}, []
     n = lambda m: len(re.sub("[^0-9]", "", m.group()))
-    out["email"] = list(re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t))
-    out["ip"] = [m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
-    out["card"] = [m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= n(m) <= 19 and luhn(re.sub("[^0-9]", "", m.group()))]
-    out["phone"] = [m for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= n(m) <= 15]
-    return {f"n_{k}": len(v) for k, v in out.items()} | {"base_sha256": sha(",".join(f"{k}:{m.start()}:{m.end()}" for k, v in out.items() for m in v))}
+    every["email"] = list(re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t))
+    every["ip"] = list(re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t))
+    every["card"] = list(re.finditer(r"[0-9]([\x20-]?[0-9])+", t))
+    every["phone"] = list(re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t))
+    every["iban"] = list(re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", t))
+    every["ssn"] = list(re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t))
+    holds = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(x) <= 255 for x in m.group().split(".")),
+        "card": lambda m: 16 <= n(m) <= 19 and luhn(re.sub("[^0-9]", "", m.group())),
+        "phone": lambda m: 8 <= n(m) <= 15,
+        "iban": lambda m: 15 <= len(m.group().replace(" ", "")) <= 34 and mod97(m.group()) == 1,
+        "ssn": lambda m: m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000",
+    }
+    for kind, ms in every.items():
+        weight, near, context, least = PII[kind]
+        out[kind] = [m for m in ms if holds[kind](m)]
+        for i, m in enumerate(ms):
+            before = t[ms[i - 1].end() if i else 0 : m.start()][-40:]
+            after = t[m.end() : ms[i + 1].start() if i + 1 < len(ms) else len(t)][:40]
+            around = f"{before} {after}".lower()
+            found = any(re.search(rf"(?<![^\W_]){re.escape(c.replace('_', ' '))}(?![^\W_])", around) for c in context.split())
+            score = round(weight + near * found, 2)
+            if m in out[kind] and score >= least:
+                spans.append((kind, m.start(), m.end(), score))
+    base = ("email", "ip", "card", "phone")
+    return {f"n_{k}": len(out[k]) for k in base} | {"base_sha256": sha(",".join(f"{k}:{m.start()}:{m.end()}" for k in base for m in out[k])), "spans": ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans), "scores": ",".join(str(s) for *_, s in spans)}
 
 
 def secrets(text):

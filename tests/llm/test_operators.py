@@ -50,6 +50,17 @@ def test_by_text(docs, digest, plain):
     assert digest(docs.limit(0)).count() == 0
 
 
+def test_pii_checks_and_context(spark):
+    """Numbers that a checksum confirms or not, words of the context and words that only hold one, and more spans than two levels of blocks."""
+    around = ["", "my IBAN: ", "script ", "hotel ", "tel. ", "discard ", "Card no ", "ssn ", "the Social Security no ", "server ", "tax id "]
+    values = ["DE89 3704 0044 0532 0130 00", "DE88370400440532013000", "GB82WEST12345698765432", "123-45-6789", "000-45-6789", "900-12-3456", "4012 8888 8888 1881", "4012888888881882", "1.2.3.4", "256.1.1.1", "+49 30 1234567", "a@b.co"]
+    rows = [(i, f"{a}{v} and {values[(i + 3) % len(values)]} {around[i % 11]}") for i, (a, v) in enumerate((a, v) for a in around for v in values)]
+    rows += [(1000, "x 1.2.3.4 y" * 5000), (1001, "ssn 123-45-6789," * 4200), (1002, "é" * 50 + "DE89370400440532013000 " * 70)]
+    want = [{"doc_id": i} | brute.pii(t) for i, t in rows]
+    assert {k for w in want for k in w["spans"].replace(",", ":").split(":")} > {"iban", "ssn", "card", "phone", "email", "ip"} and len({s for w in want for s in w["scores"].split(",")}) == 6
+    same(pii.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), want)
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(WORDS)), (2, texts()[8][1]), (3, "alpha beta"), (4, None), (5, ""), (6, "É"), (None, "the of"), (20, texts()[8][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")

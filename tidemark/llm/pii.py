@@ -6,8 +6,9 @@ span's position is a prefix sum over the lengths of parts and matches. Nothing i
 Patterns are written for linear time on any text: possessive, and tried only where a run of their characters starts.
 The rewritten ones match what the plain forms match, leftmost and non-overlapping.
 
-Defined results: a null or empty text has no spans. One row out for each row in; ids may be null or repeated; other
-columns of the input are ignored.
+Defined results: a null or empty text has no spans, an empty table gives an empty one. Whole texts are searched, however long. Spans
+of one kind don't overlap, spans of different kinds may; those that tie in start are in the order of kinds. One row out for each row in;
+ids may be null or repeated; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ BLOCK = 64
 
 
 class Kind(NamedTuple):
-    """trigger: a cheap test of the whole text. A span counts if check holds and its score reaches least:
-    weight, and near more if one of the context words stands within 40 code points."""
+    """trigger: a cheap test of the whole text. A span counts if its checksum holds and its score reaches least: weight, and near
+    more if one of the context words stands as a word of its own within 40 code points, up to the spans of its kind before and after."""
 
     name: str
     pattern: str
@@ -34,10 +35,10 @@ class Kind(NamedTuple):
 
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.1, "mail|contact|write|kontakt|correo"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.1, "e-?mail|mail|contact|write|kontakt|correo"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]+\.[0-9]", 0.6, 0.3, "host|server|address|adresse|ip"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){15}", 0.7, 0.3, "card|visa|credit|karte|carte|tarjeta"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, 0.3, "phone|call|tel|mobile|fax|anruf"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, 0.3, "phone|telephone|call|tel|mobile|fax|anruf"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", 0.8, 0.2, "iban|bank|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.3, 0.5, "ssn|social security|tax id", 0.5),
 )
@@ -85,15 +86,16 @@ def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     df = df.select("*", *[F.when(F.contains("t", F.lit(k.trigger)) if k.name == "email" else F.col("t").rlike(k.trigger), F.struct(F.split("t", k.pattern, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(k.pattern), F.lit(0)).alias("m"))).alias(k.name) for k in kinds])
     df = df.select("*", *[steps(k.name).alias(f"steps_{k.name}") for k in kinds])
     df = df.select("*", *[blocks(f"steps_{k.name}").alias(f"blocks_{k.name}") for k in kinds])
+    df = df.select("*", *[blocks(f"blocks_{k.name}").alias(f"many_{k.name}") for k in kinds])
 
     def spans(k: Kind) -> Column:
         gaps = F.col(f"{k.name}.gaps")
 
         def one(m: Column, i: Column) -> Column:
-            before = F.floor(i / BLOCK).cast("int")
-            start = added(F.slice(f"blocks_{k.name}", 1, before)) + added(F.slice(f"steps_{k.name}", before * BLOCK + 1, i - before * BLOCK)) + F.length(F.get(gaps, i))
+            before, many = F.floor(i / BLOCK).cast("int"), F.floor(i / BLOCK**2).cast("int")
+            start = added(F.slice(f"many_{k.name}", 1, many)) + added(F.slice(f"blocks_{k.name}", many * BLOCK + 1, before - many * BLOCK)) + added(F.slice(f"steps_{k.name}", before * BLOCK + 1, i - before * BLOCK)) + F.length(F.get(gaps, i))
             around = F.concat(F.right(F.get(gaps, i), F.lit(40)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(40)))
-            score = k.weight + F.when(F.lower(around).rlike(k.context), k.near).otherwise(0.0)
+            score = k.weight + F.when(F.lower(around).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{k.context})(?![\p{{L}}\p{{N}}])"), k.near).otherwise(0.0)
             return F.when(confirmed(k.name, m), F.struct(F.lit(k.name).alias("kind"), start.cast("long").alias("start"), (start + F.length(m)).cast("long").alias("end"), score.alias("score")))
 
         made = F.filter(F.transform(f"{k.name}.m", one), lambda x: x.isNotNull() & (F.lit(k.name in BASE) | (x.score >= k.least)))
@@ -110,7 +112,7 @@ def steps(kind: str) -> Column:
 
 
 def blocks(xs: str) -> Column:
-    """The sum of each BLOCK of elements: a prefix sum then adds some blocks and the rest of one."""
+    """The sum of each BLOCK of elements: a prefix sum then adds some blocks of blocks, some blocks and the rest of one."""
     return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.expr(f"cast((size({xs}) - 1) div {BLOCK} as int)")), lambda b: added(F.slice(xs, b * BLOCK + 1, BLOCK))))
 
 
@@ -123,7 +125,7 @@ def kind_is(*names: str):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the count of each base kind, base_sha256 over the base spans and spans with all of them."""
+    """doc_id, the count of each base kind, base_sha256 over the base spans, spans with all of them, and their scores in the same order."""
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
     df = personal_data(docs)
     return df.select(
@@ -131,4 +133,5 @@ def digest(docs: DataFrame) -> DataFrame:
         *[F.size(F.filter("found", kind_is(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(F.filter("found", kind_is(*BASE))), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda x: F.round(x.score, 2).cast("string")), ",").alias("scores"),
     )

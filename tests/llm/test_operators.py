@@ -315,6 +315,39 @@ def test_toxicity_learns(spark, docs):
     assert toxicity.digest(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_is_a_convolution(spark, monkeypatch):
+    """Tabulated responses against plain sums of products over whole texts, in stretches too; thresholds against all cuts; ties of labels."""
+    rng = np.random.default_rng(4)
+    e, filters = rng.normal(size=(50, toxicity.DIM)), {w: rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS}
+    e[0] = 0
+    tables = {w: np.einsum("rd,wdf->rwf", e, f) for w, f in filters.items()}
+    model = toxicity.Model({}, tables, rng.normal(size=36), rng.normal(size=36), 0.3, np.zeros(len(toxicity.LANGUAGES)), 1.0)
+    for n in (0, 1, 2, 3, 40, 250):
+        ids = rng.integers(0, 50, n)
+        padded = [0, 0, *ids.tolist(), 0, 0]
+        best = [max(sum(float(e[padded[p + o]] @ filters[w][o][:, k]) for o in range(w)) for p in range(len(padded) - w + 1)) for w in toxicity.WIDTHS for k in range(toxicity.FILTERS)]
+        want = sum(max(0.0, b + model.bias[j]) * model.weights[j] for j, b in enumerate(best)) + 0.3
+        for stretch in (100_000, 7):
+            monkeypatch.setattr(toxicity, "STRETCH", stretch)
+            assert np.allclose(toxicity.responses(tables, ids), best) and np.isclose(toxicity.logit(model, ids), want)
+    for _ in range(20):
+        z, y = rng.normal(size=30).round(1), rng.integers(0, 2, 30)
+        y[:2] = 0, 1
+        good = lambda cut: 2 * (z[y == 0] < cut).mean() + (z[y == 1] >= cut).mean()
+        assert good(toxicity.threshold(z, y)) >= max(map(good, [*(z + 0.05), -9, 9])) - 1e-9
+    texts = [f"the of and tree w{i % 30} " + "der die das " * (i % 2 * 2) + ("idiot" if i % 4 > 1 else "stone") for i in range(600)]
+    fitted = toxicity.fit(texts, (np.arange(600) % 4 > 1).astype(int), rng.integers(0, 5, 600))
+    low = fitted._replace(thresholds=np.where(np.array(toxicity.LANGUAGES) == "de", 99.0, fitted.thresholds))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])], "doc_id long, text string")
+    out = {r.doc_id: (r.a, r.b) for r in df.select("doc_id", toxicity.scored(df, fitted).alias("a"), toxicity.scored(df, low).alias("b")).collect()}
+    assert all((out[i][0] >= 0.5) == (i % 4 > 1) for i in out) and all((out[i][1] >= 0.5) == (i % 4 == 2) for i in out)
+    docs = spark.range(100).selectExpr("id doc_id", "concat('text ', id) text")
+    labels = spark.createDataFrame([(i, y) for i in range(100) for y in ([0, 1] if i % 10 == 3 else [i % 2, i % 2])], "doc_id long, toxic int")
+    drawn = toxicity.sample(docs, labels)
+    assert set(drawn["id"]) == {i for i in range(100) if i % 10 != 3 and zlib.crc32(str(i).encode()) % 5} and len(set(drawn["id"])) == len(drawn)
+    assert (drawn["toxic"] == drawn["id"] % 2).all()
+
+
 def test_packing_ids():
     """Plain tokenizers, also for added tokens, letters that few know, and parts met once the cache is full."""
     import pyarrow as pa
@@ -366,3 +399,5 @@ def test_warc(spark, tmp_path):
     reader = warc.Reader(str(tmp_path), r.bundle)
     assert reader.record(r.frame, r.offset)["body"] == data[-1][1].encode()
     assert warc.digest(pages.limit(0)).count() == 0
+    named = spark.createDataFrame([("a>b %41é", "z" * 200), ("b", "z" * 200), (None, "z" * 200)], "page_id string, html string").selectExpr("*", "'u' url")
+    assert {(r.page_id, r.refers_to) for r in warc.digest(named).collect()} == {("a>b %41é", None), ("b", "a>b %41é"), (None, "a>b %41é")}

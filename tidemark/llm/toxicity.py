@@ -1,16 +1,19 @@
 """Toxicity by a convolutional text classifier in numpy: hashed word embeddings, filters of several widths, max pooling.
 
-Words are hashed to 32 bits; hashes that fewer than `least` training texts have share one untrained row. Each width has its own
+Words are hashed to 32 bits and never listed as words; of the 2^32 rows only those of hashes that LEAST_TEXTS training texts have are
+kept, the others share one untrained row. Each width has its own
 filters, a filter's feature is its largest response anywhere in the text, and a logistic layer weighs the features. As a
 response is a sum of one product for each word of the filter, the products are tabulated once for each row, and scoring adds
 up table rows. Whole texts are scored, in stretches that overlap by the widest filter.
 
-Training takes at most `per_class` texts of each label, those with the smallest hashes of their ids, and only of rows that
-`held_out` leaves. A fifth of them sets, for each language, the logit that becomes score 0.5; the language is guessed from
+Training takes at most `per_class` ids of each label, those with the smallest hashes, and only of rows that `held_out` leaves; where ids
+are repeated in the documents, at most `most` texts in the order of id and text. That is the fitting bound. An id that is labelled both ways trains nothing,
+so that the model doesn't depend on the order of rows. A fifth of them sets, for each language, the logit that becomes score 0.5; the language is guessed from
 function words of the text itself. Languages with few such texts share one threshold.
 
 Defined results: null, empty and wordless texts are scored as texts of one untrained word. Without any labelled texts of
-either class every score is 0. One row out for each row in, whatever its id; other columns are ignored.
+either class every score is 0. Filters whose largest response ties take its first place. Whole texts are scored, however long; an empty table
+gives an empty one. One row out for each row in, whatever its id; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from tidemark.llm.common import fresh, held_out
 
 WORD = re.compile(r"[^\W_]+")
 WIDTHS, FILTERS, DIM, EPOCHS, BATCH = (1, 2, 3), 12, 8, 6, 32
-PER_CLASS, LEAST_TEXTS, STRETCH, CACHED = 1500, 3, 100_000, 250_000
+PER_CLASS, MOST_TEXTS, LEAST_TEXTS, STRETCH, CACHED = 1500, 6000, 3, 100_000, 250_000
 #: Function words by which a text's language is guessed for its threshold.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was with as be on by at this from are".split(),
@@ -172,19 +175,19 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
     order = np.argsort(z)
     z, y = z[order], y[order]
     good = 2 * np.r_[0, np.cumsum(y == 0)] / max(1, (y == 0).sum()) + np.r_[(y == 1).sum(), (y == 1).sum() - np.cumsum(y == 1)] / max(1, (y == 1).sum())
+    good[1:-1][z[1:] == z[:-1]] = -1  # no cut parts equal logits
     best = int(good.argmax())
     low, high = z[best - 1] if best else z[0] - 2, z[best] if best < len(z) else z[-1] + 2
     return float((low + high) / 2)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> pd.DataFrame:
-    """(text, toxic, fold): at most per_class labelled texts of each class, drawn by the hash of their ids."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "toxic").dropDuplicates(["id"])
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = MOST_TEXTS) -> pd.DataFrame:
+    """(text, toxic, fold): texts of at most per_class labelled ids of each class, drawn by the hash of the id, at most `most` in all."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
     fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("int")
-    return texts.select("id", "text", "toxic", fold.alias("fold")).orderBy("id", "text").limit(4 * per_class).toPandas()
-
+    return texts.select("id", "text", "toxic", fold.alias("fold")).orderBy("id", "text").limit(most).toPandas()
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text"):

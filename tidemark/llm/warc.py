@@ -8,12 +8,14 @@ the one that the committed index names is ever read.
 
 Of records with equal payloads of at least `least` bytes, that with the smallest id is a response; the others are revisits,
 which keep the HTTP head with the payload's length and digest and point to the response. Digests are grouped in rows of a
-few bytes with partial aggregation; payloads are dealt out by record, never by digest, so that a hot payload can't gather.
+few bytes with partial aggregation. The table of revisits, a few bytes each too, is broadcast by its measured bytes, so that payloads stay
+where they are; beyond that they are dealt out by record, never by digest, so that a hot payload can't gather.
 
 Bundles go to the folder in spark.checkpoint.dir, or any that pyarrow's file systems open.
 
 Defined results: a null payload is empty, a null URL is empty. Equal ids with equal payloads: all rows of the smallest id are
-responses. A null id is never referred to; a payload that only null ids have gives responses. One row out for each row in.
+responses. A null id is never referred to; a payload that only null ids have gives responses. One row out for each row in, and none of an
+empty table. A payload is held whole in memory, however long. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
@@ -30,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, stored
+from tidemark.llm.common import bounded, scratch, stored
 
 LEAST, FRAME, BUNDLE = 100, 1 << 18, 1 << 28
 SEEK_MAGIC, SKIPPABLE = 0x8F92EAB1, 0x184D2A5E
@@ -44,9 +47,9 @@ def record(kind: str, page: str, url: str, payload: bytes, digest: str, refers:
     """One WARC/1.1 record around an HTTP response; a revisit has the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {date}", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{quote(page, safe='')}>", f"WARC-Date: {date}", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{quote(refers, safe='')}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -124,9 +127,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     kind = pages.schema[page_id].dataType.simpleString()
     slim = pages.select(F.col(page_id).alias("id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes")).where(F.col("bytes") >= least)
     firsts = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    again = slim.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("re_id"), F.col("digest").alias("re_digest"), "first").distinct()
+    again = slim.join(bounded(stored(firsts, "firsts")), "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("re_id"), F.col("digest").alias("re_digest"), "first").distinct()
     df = pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    df = df.join(again, F.col("id").eqNullSafe(F.col("re_id")) & (F.col("digest") == F.col("re_digest")), "left")
+    df = df.join(bounded(stored(again, "revisits")), F.col("id").eqNullSafe(F.col("re_id")) & (F.col("digest") == F.col("re_digest")), "left")
     # ids travel as text: pandas would turn numbers with nulls into floats
     df = df.select(F.col("id").cast("string").alias("id"), "url", "body", "digest", F.col("first").cast("string").alias("first"))
 
@@ -159,6 +162,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             rows = []
             for i, b, f, o in zip(x["id"], x["bundle"], x["frame"], x["offset"]):
                 if b != name:
+                    if reader:
+                        reader.file.close()
                     reader, name = Reader(folder, b), b
                 r = reader.record(f, o)
                 digest, size, body = r["WARC-Payload-Digest"].removeprefix("sha256:"), r["http_length"], None
@@ -167,8 +172,10 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     if (len(body), hashlib.sha256(body).hexdigest()) != (size, digest):
                         raise ValueError(f"record {i} of {b} is damaged")
                 m = re.search(r"urn:page:([^>]*)", r.get("WARC-Refers-To", ""))
-                rows.append((i, size, digest, r["WARC-Type"], m and m[1], r["WARC-Target-URI"], body))
+                rows.append((i, size, digest, r["WARC-Type"], m and unquote(m[1]), r["WARC-Target-URI"], body))
             yield pd.DataFrame(rows, columns=["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+        if reader:
+            reader.file.close()
 
     out = index.withColumn("id", F.col("id").cast("string")).mapInPandas(run, "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary")
     return out.withColumns({c: F.col(c).cast(kind) for c in ("id", "refers_to")})

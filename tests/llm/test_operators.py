@@ -4,6 +4,7 @@ empty tables, extra columns with the names that operators use themselves."""
 import base64
 import gzip
 import hashlib
+import math
 import urllib.parse
 import zlib
 
@@ -296,9 +297,51 @@ def test_forward_sums_all_segmentations():
             a[e] = a[e - 1] * language.UNKNOWN + sum(a[s] * probs[pieces.index(w[s:e]), 0] for s in range(e) if w[s:e] in pieces)
         return np.log(a[-1])
 
-    words = ["ab", "aba", "b", "zab", "abababab"]
-    got = language.Lattice(language.automaton(pieces), words).totals(probs)[:, 0]
-    assert np.allclose(got, [total("▁" + w) for w in words])
+    words = ["ab", "aba", "b", "zab", "abababab", "ab" * 15, "z" * 32, "abz" * 12]
+    machine = language.automaton(pieces)
+    want = [total("▁" + w) for w in words]
+    assert np.allclose(language.Lattice(machine, words).totals(probs)[:, 0], want)
+    assert np.allclose(language.Lattice(machine, words).log_totals(probs)[:, 0], want)
+    assert np.allclose([language.streamed(machine, w, probs, 3)[0] for w in words], want)
+
+
+@pytest.mark.parametrize("together,streamed", [(100_000, 20_000), (100, 60)])
+def test_words_of_any_length(monkeypatch, together, streamed):
+    """No word is cut: sums over all segmentations in exact fractions."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(language, "TOGETHER", together)
+    monkeypatch.setattr(language, "STREAMED", streamed)
+    rng = np.random.default_rng(6)
+    pieces = ["▁", "▁a", "▁ab", "a", "ab", "b", "ba", "abbaabbaabbaabbaab"]
+    probs = rng.random((len(pieces), 3)) / 8
+    words = ["".join(rng.choice(list("abz"), int(n))) for n in rng.integers(1, 130, 60)] + ["a" * 33, "z" * 50, "abba" * 30]
+    got = language.word_totals(language.automaton(pieces), words, probs, 18)
+    for w, row in zip(words, got):
+        for k in range(3):
+            marked, a = "▁" + w, [Fraction(1)]
+            for e in range(1, len(marked) + 1):
+                a.append(a[-1] * Fraction(language.UNKNOWN) + sum(a[e - len(p)] * Fraction(probs[i, k]) for i, p in enumerate(pieces) if marked[:e].endswith(p)))
+            assert np.isclose(row[k], math.log(a[-1].numerator) - math.log(a[-1].denominator))
+
+
+def test_language_of_whole_texts(spark):
+    """Label and score of texts against sums over all their words, ties to the language that sorts first."""
+    pieces = ["▁", "a", "b", "▁a", "ab", "ba", "aab"]
+    rng = np.random.default_rng(8)
+    probs = rng.random((len(pieces), 3))
+    probs = probs / probs.sum(0)
+    probs[:, 2] = probs[:, 0]
+    model = language.Model(["aa", "bb", "cc"], pieces, probs)
+    machine = language.automaton(pieces)
+    rows = [(k, " ".join("".join(rng.choice(list("ab"), int(n))) for n in rng.integers(1, 60, 5)) + "." * (k % 2)) for k in range(60)] + [(60, "1 2 3"), (61, None), (62, "a" * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.x.lang, r.x.score) for r in df.select("doc_id", language.predicted(df, model).alias("x")).collect()}
+    for i, t in rows:
+        s = sum((language.word_totals(machine, [w], probs, 3)[0] for w in language.words_of(t)), np.zeros(3))
+        p = np.exp(s - s.max())
+        want = ("und", 0.0) if not language.words_of(t) else (model.langs[int(s.argmax())], float(p.max() / p.sum()))
+        assert got[i][0] == want[0] and np.isclose(got[i][1], want[1]) and got[i][0] != "cc"
 
 
 def test_toxicity_learns(spark, docs):

@@ -89,9 +89,12 @@ def test_json(spark):
     assert one(spark, js.contains(doc, {"t": True, "k": 3}))
     assert not one(spark, js.contains(doc, {"k": 4}))
     assert one(spark, js.has_any(doc, ["z", "k"])) and not one(spark, js.has_all(doc, ["z", "k"]))
-    stats = js.path_stats(spark.range(1).select(doc.alias("d")), "d", 5)
+    stats = js.path_stats(spark.range(1).select(doc.alias("d")), "d")
     got = {(r.path, r.type): r.n for r in stats.collect()}
     assert got[("$.a.b[*].c", "string")] == 1 and got[("$.a.b[*]", "number")] == 1 and got[("$.a.n", "null")] == 1
+    deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"e":[[1,"}]{{"],[{"f":null}]]}}}}}',), ('"text"',), ("[1, [2]]",), ("no json {",), (None,)], "d string")
+    assert {(r.path, r.type, r.n) for r in js.path_stats(deep, "d").where("path like '%f' or path like '$[%' or path = '$.a.b.c.d.e[*][*]'").collect()} == {("$.a.b.c.d.e[*][*].f", "null", 1), ("$.a.b.c.d.e[*][*]", "number", 1), ("$.a.b.c.d.e[*][*]", "string", 1), ("$.a.b.c.d.e[*][*]", "object", 1), ("$[*]", "number", 1), ("$[*]", "array", 1), ("$[*][*]", "number", 1)}
+    assert js.path_stats(deep.limit(0), "d").count() == 0
     picked = {r.path: r.extract for r in js.advice(stats.withColumn("share", F.lit(0.5))).collect()}
     assert picked["$.k"] and not picked["$.a"]
 
@@ -102,5 +105,11 @@ def test_line_protocol(spark):
     assert [r.measurement for r in rows] == ["cpu load", "mem"]
     assert rows[0].tags == {"host": "a", "re,gion": "eu"} and rows[0].time == 170 and rows[1].time is None
     assert rows[0].fields == {"usage": "0.5", "n": "3i", "ok": "t", "s": '"x, y=1"'}
+    long = "cpu" + "".join(f",t{i}={i}" for i in range(3000)) + " " + ",".join(f'f{i}="{i} a,b"' for i in range(3000)) + " 5"
+    again = "cpu,a=1,b=2,a=3 x=1i,x=2i"
+    odd = ingest.line_protocol(spark.createDataFrame([(long,), (again,), ('bad "line',), ("x" * 100_000,)], "value string")).collect()
+    assert len(odd[0].tags) == 3000 and odd[0].fields["f2999"] == '"2999 a,b"' and odd[0].time == 5
+    assert odd[1].tags == {"a": "3", "b": "2"} and odd[1].fields == {"x": "2i"}
+    assert odd[2].measurement is None and odd[3].measurement is None and odd[3].tags == {} and odd[2].line == 'bad "line'
     f = lambda v: one(spark, ingest.typed_field(F.lit(v)))
     assert f("3i").long == 3 and f("0.5").double == 0.5 and f('"x"').text == "x" and f("t").boolean is True

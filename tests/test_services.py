@@ -54,8 +54,17 @@ def test_changes(spark):
     after = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d"), (None, "m")], "k int, v string")
     got = {(r.k, r.event_type) for r in changes.changes(before, after, ["k"]).collect()}
     assert got == {(2, "update"), (3, "delete"), (4, "insert"), (None, "update")}
-    c = changes.changes(before.where("k > 0"), after.where("k > 0"), ["k"])
-    assert sorted(map(tuple, changes.apply_changes(before.where("k > 0"), c, ["k"]).collect())) == sorted(map(tuple, after.where("k > 0").collect()))
+    c = changes.changes(before, after, ["k"])
+    bag = lambda df: sorted(map(repr, df.collect()))
+    assert bag(changes.apply_changes(before, c, ["k"])) == bag(after)
+    assert bag(changes.upsert(before, after, ["k"])) == bag(after.unionByName(before.where("k = 3")))
+    assert bag(changes.upsert(before, after, ["k"], update=False)) == bag(before.unionByName(after.where("k = 4")))
+    assert bag(changes.apply_changes(before.limit(0), changes.initial_rows(before, ["k"]), ["k"])) == bag(before)
+    total = lambda df: df.groupBy("k").agg(F.count("*").alias("n"))
+    more = before.unionByName(before)
+    assert bag(tables.dynamic_increment(total(before), more, total, more.select("k").distinct(), ["k"])) == bag(total(more))
+    by = lambda df: df.groupBy(F.col("k").alias("bucket")).agg(F.count("*").alias("n"))
+    assert bag(tables.refreshed(by(before), more, by, more.select(F.col("k").alias("bucket")).distinct(), lambda d: d.withColumn("bucket", F.col("k")))) == bag(by(more))
     assert changes.stream_rows(c, "append").count() == 1 and changes.stream_rows(c, mode="keys_only", keys=["k"]).columns == ["event_type", "k"]
 
 
@@ -112,6 +121,7 @@ def test_cdc(spark, tmp_path):
     sub.to_files(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     (line,) = [r.value for r in spark.read.text(f"{tmp_path}/out").collect()]
     assert json.loads(line)["op"] == "c" and json.loads(line)["before"] is None and json.loads(line)["after"] == {"id": 1}
+    assert json.loads(line)["source"]["schema"] == "public" and json.loads(line)["source"]["table"] == "a"
 
 
 def test_sources(spark, tmp_path):

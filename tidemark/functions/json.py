@@ -58,22 +58,33 @@ def extract_batch(docs: Column, at: str) -> Column:
     return F.transform(docs, lambda d: F.get_json_object(d, path(at)))
 
 
-def leaves(df: DataFrame, doc: str, depth: int = 8) -> DataFrame:
-    """(path, type) for every value of every document down to a depth, arrays as [*]."""
-    level = df.select(F.lit("$").alias("path"), F.parse_json(F.col(doc)).alias("v"))
-    found = None
+def depth_of(doc: Column) -> Column:
+    """How many objects and arrays lie within each other, at most; by the brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace(doc, r'"(?:\\.|[^"\\])*+"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    deep = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, x: F.struct((a.now + x).alias("now"), F.greatest(a.most, a.now + x).alias("most")), lambda a: a.most)
+    return F.coalesce(deep, F.lit(0))
+
+
+def leaves(df: DataFrame, doc: str, depth: int | None = None) -> DataFrame:
+    """(path, type) for every value of every document, arrays as [*], down to a depth or as deep as the documents go. A document is
+    parsed once; each step puts the members of the objects and arrays that are new beside them. Text that isn't JSON has no values."""
+    if depth is None:
+        depth = df.agg(F.max(depth_of(F.col(doc))).alias("d")).first().d or 0
+    level = df.select(F.lit("$").alias("path"), F.try_parse_json(F.col(doc)).alias("v"), F.lit(True).alias("new")).where("v is not null")
     for _ in range(depth):
         kind = F.schema_of_variant("v")
-        name = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
-        here = level.select("path", "v", name.alias("type"))
-        found = here.select("path", "type") if found is None else found.unionByName(here.select("path", "type"))
-        nested = here.where("type in ('object', 'array')")
-        level = df.sparkSession.sql("SELECT CASE WHEN type = 'array' THEN path || '[*]' ELSE path || '.' || e.key END AS path, e.value AS v FROM {nested}, LATERAL variant_explode(v) AS e", nested=nested)
-    return found.where("path <> '$'")
+        inside = F.when(F.col("new") & kind.startswith("OBJECT"), F.expr("transform(map_entries(cast(v as map<string, variant>)), e -> struct(path || '.' || e.key as path, e.value as v, true as new))"))
+        inside = inside.when(F.col("new") & kind.startswith("ARRAY"), F.expr("transform(cast(v as array<variant>), x -> struct(path || '[*]' as path, x as v, true as new))"))
+        own = F.array(F.struct("path", "v", F.lit(False).alias("new")))
+        level = level.select(F.explode(F.concat(own, F.coalesce(inside, F.expr("slice(array(struct(path, v, true as new)), 1, 0)")))).alias("x")).select("x.*")
+    kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    name = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+    return level.select("path", name.alias("type")).where("path <> '$'")
 
 
-def path_stats(df: DataFrame, doc: str, depth: int = 2) -> DataFrame:
-    """(path, type, n, share): how many documents' values each path and type has."""
+def path_stats(df: DataFrame, doc: str, depth: int | None = None) -> DataFrame:
+    """(path, type, n, share): how many values each path and type has, for each document, at every depth unless one is given."""
     total = df.agg(F.count("*").alias("total"))
     return leaves(df, doc, depth).groupBy("path", "type").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("path", "type", "n", (F.col("n") / F.col("total")).alias("share"))
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def differing(names: list[str]) -> Column:
-    from functools import reduce
+def matched(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """df joined (left_semi or left_anti) with other on the keys, null being equal to null."""
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    return df.alias("l").join(other.select(*keys).alias("r"), on, how)
+
 
+def differing(names: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in names], F.lit(False))
 
 
@@ -26,6 +32,12 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return out.where(F.col("event_type").isNotNull())
 
 
+def initial_rows(table: DataFrame, keys: list[str]) -> DataFrame:
+    """A table as the changes that made it: an insert of every row, for streams that show initial rows."""
+    every = F.struct(*[F.col(c) for c in [*keys, *[c for c in table.columns if c not in keys]]])
+    return table.select(F.lit("insert").alias("event_type"), *keys, F.when(F.lit(False), every).alias("before"), every.alias("after"))
+
+
 def stream_rows(changed: DataFrame, kind: str = "standard", mode: str = "default", keys: list[str] | None = None) -> DataFrame:
     """What a stream of a kind (standard, append, insert) shows in a mode (default, keys_only, full_before)."""
     if kind in ("append", "insert"):
@@ -36,18 +48,18 @@ def stream_rows(changed: DataFrame, kind: str = "standard", mode: str = "default
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
-    """target with source's rows put in; rows whose key is there are replaced, or kept if update is off. Each side is joined
-    once and no row is compared with more than its key's; source should have a key once."""
+    """target with source's rows put in; rows whose key is there, nulls counted as equal, are replaced, or kept if update is off. Each side
+    is joined once and no row is compared with more than its key's; source should have a key once."""
     source = source.select(*target.columns)
     if update:
-        return target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(source)
-    return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+        return matched(target, source, keys, "left_anti").unionByName(source)
+    return target.unionByName(matched(source, target, keys, "left_anti"))
 
 
 def apply_changes(target: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
-    """target after all changes: what they delete or update goes, what they insert or update comes."""
+    """target after all changes: what they delete or update goes, what they insert or update comes. Null keys are equal."""
     new = changed.where("event_type in ('insert', 'update')").select("after.*")
-    return target.join(changed.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
+    return matched(target, changed, keys, "left_anti").unionByName(new.select(*target.columns))
 
 
 def table_filter(name: Column, include: list[str], exclude: list[str]) -> Column:

@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.functions import time as tm
+from tidemark.operators.changes import matched
 
 
 def refreshed(materialized: DataFrame, source: DataFrame, aggregate: Callable[[DataFrame], DataFrame], dirty: DataFrame, bucketed: Callable[[DataFrame], DataFrame], bucket: str = "bucket") -> DataFrame:
     """materialized with the dirty buckets computed anew from source: the same as computing all of it. Source rows of other
     buckets are left out before they are aggregated."""
-    again = aggregate(bucketed(source).join(dirty, bucket, "left_semi").drop(bucket))
-    return materialized.join(dirty, bucket, "left_anti").select(*materialized.columns).unionByName(again)
+    again = aggregate(matched(bucketed(source), dirty, [bucket], "left_semi").drop(bucket))
+    return matched(materialized, dirty, [bucket], "left_anti").unionByName(again)
 
 
 def dynamic_increment(materialized: DataFrame, source: DataFrame, query: Callable[[DataFrame], DataFrame], changed: DataFrame, keys: list[str]) -> DataFrame:
-    """materialized with the changed keys' rows replaced by what the query gives for them now."""
-    return materialized.join(changed, keys, "left_anti").select(*materialized.columns).unionByName(query(source.join(changed, keys, "left_semi")))
+    """materialized with the changed keys' rows, null keys too, replaced by what the query gives for them now."""
+    return matched(materialized, changed, keys, "left_anti").unionByName(query(matched(source, changed, keys, "left_semi")))
+
+
+def dirty_buckets(changed: DataFrame, width: str, time: str, bucket: str = "bucket") -> DataFrame:
+    """The invalidation log of a change set: the buckets that its rows fall into, those of null times too."""
+    return changed.select(tm.time_bucket(width, F.col(time)).alias(bucket)).distinct()
+
+
+def dirty_range(changed: DataFrame, width: str, time: str) -> DataFrame:
+    """The same as one row: the first bucket's start and the last one's end."""
+    c = changed.select(tm.chunk_range(width, F.col(time)).alias("c"))
+    return c.agg(F.min("c.start").alias("start"), F.max("c.end").alias("end"))
 
 
 #: Ages from which a chunk leaves a tier.

@@ -31,7 +31,7 @@ class Subscription:
         """(key, value): the table's name and the event as JSON."""
         df = self.wanted(events)
         if self.format == "debezium":
-            value = debezium(F.col("event_type"), F.col("before"), F.col("after"), "", "", F.col("lsn"), F.col("ts_ms"))
+            value = debezium(F.col("event_type"), F.col("before"), F.col("after"), F.col("schema"), F.col("table"), F.col("lsn"), F.col("ts_ms"))
         else:
             value = F.to_json(F.struct(*[c for c in events.columns]))
         return df.select(F.concat_ws(".", "schema", "table").alias("key"), value.alias("value"))

@@ -91,18 +91,73 @@ def test_workflow_and_tasks(spark):
 
 def test_pipeline(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text('{"id": 1, "name": "x"}\n[{"id": 2}, {"name": "lost"}]\n')
+    (tmp_path / "in" / "1.json").write_text('{"id": 1, "name": "x"}\n[{"id": 2}, {"name": "lost"}]\nnot json\n{"id": "x"}\n')
     fields = [pipeline.Field("id", "id", required=True), pipeline.Field("name", "name", "upper(name)", default="NONE")]
 
     def go():
-        p = pipeline.Pipeline("p", "file", f"{tmp_path}/out", f"{tmp_path}/ck", schema="id:bigint,name:string", options={"path": f"{tmp_path}/in"}, fields=fields)
+        p = pipeline.Pipeline("p", "file", f"{tmp_path}/out", f"{tmp_path}/ck", schema="id bigint,name string", options={"path": f"{tmp_path}/in"}, fields=fields, rejects=f"{tmp_path}/bad")
         p.start(spark, available_now=True).awaitTermination()
         return p
 
     assert go().status()["state"] == "stopped"
     (tmp_path / "in" / "2.json").write_text('{"id": 3, "name": "z"}\n')
-    go()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, "X"), (2, "NONE"), (3, "Z")]
+    p = go()
+    assert sorted(map(tuple, p.read(spark).collect())) == [(1, "X"), (2, "NONE"), (3, "Z")]
+    assert sorted(map(tuple, p.read(spark, rejected=True).collect())) == [("not json", "not a record"), ('{"id": "x"}', "not of the schema"), ('{"name":"lost"}', "a required value is missing")]
+    again = spark.createDataFrame([('{"id": 4}',)], "value string")
+    p.write(again, 77)
+    p.write(again, 77)  # a repeated batch
+    assert p.read(spark).where("id = 4").count() == 1
+    every = pipeline.Pipelines(spark)
+    every.create(p)
+    with pytest.raises(ValueError):
+        every.create(p)
+    assert list(every.status()) == ["p"] and every.drop("p") is None and not every.known
+    with pytest.raises(ValueError):
+        pipeline.Pipeline("q", "pigeon", "", "")
+
+
+def test_pipeline_formats(spark, tmp_path):
+    P = pipeline.Pipeline
+    text = lambda *lines: spark.createDataFrame([(x,) for x in lines], "value string")
+    good, bad = P("c", "file", "", "", "csv", "a int, b string", {"header": "true", "delimiter": ";"}).parsed(text("a;b", '1;"x;y"', "2;", "z;w"))
+    assert sorted(map(tuple, good.collect())) == [(1, "x;y"), (2, None)] and [tuple(r) for r in bad.collect()] == [("z;w", "not of the schema")]
+    good, _ = P("c", "file", "", "", "csv", options={"columns": "2"}).parsed(text("p,q"))
+    assert [r.asDict() for r in good.collect()] == [{"col0": "p", "col1": "q"}]
+    good, bad = P("l", "file", "", "", "line").parsed(text("m,h=a v=1 5", "oh no", "# c"))
+    assert [r.measurement for r in good.collect()] == ["m"] and [tuple(r) for r in bad.collect()] == [("oh no", "not line protocol")]
+    spark.range(5).write.parquet(f"{tmp_path}/p")
+    p = P("p", "file", f"{tmp_path}/o", f"{tmp_path}/c", "parquet", "id bigint", {"path": f"{tmp_path}/p"}, [pipeline.Field("id", "n", "nullif(id, 3)", required=True)], f"{tmp_path}/r")
+    p.resume(spark, available_now=True).awaitTermination()
+    assert {r.n for r in p.read(spark).collect()} == {0, 1, 2, 4} and p.read(spark, rejected=True).first().record == '{"id":3}'
+    r = P("r", "rate", f"{tmp_path}/ro", f"{tmp_path}/rc", "rate", options={"rowsPerSecond": "100"}, delivery="at_least_once")
+    q = r.start(spark)
+    import time
+
+    for _ in range(60):
+        time.sleep(0.5)
+        if q.lastProgress and q.lastProgress["numInputRows"]:
+            break
+    r.stop()
+    assert r.read(spark).columns == ["timestamp", "value"] and r.read(spark).count() > 0
+
+
+def test_stream_joins_and_state(spark, tmp_path):
+    spark.range(20).selectExpr("timestamp_seconds(1700000000 + id * 60) t", "id % 4 k", "id v").write.parquet(f"{tmp_path}/l")
+    spark.range(20).selectExpr("timestamp_seconds(1700000030 + id * 60) u", "id % 4 k", "id w").write.parquet(f"{tmp_path}/r")
+    left = lambda: spark.readStream.schema("t timestamp, k bigint, v bigint").parquet(f"{tmp_path}/l")
+    right = spark.readStream.schema("u timestamp, k bigint, w bigint").parquet(f"{tmp_path}/r")
+
+    def done(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    names = spark.createDataFrame([(0, "zero"), (1, "one")], "k bigint, name string")
+    assert done(pipeline.enriched(left(), names, ["k"]), "static_join", "append").groupBy("name").count().count() == 3
+    got = done(pipeline.paired(left(), right, ["k"], "t", "u", "5 minutes", "1 hour"), "stream_join", "append")
+    assert {(r.v, r.w) for r in got.collect()} == {(v, w) for v in range(20) for w in range(20) if v % 4 == w % 4 and 0 <= w * 60 + 30 - v * 60 <= 300}
+    got = done(pipeline.running_totals(left(), "k", "v"), "state", "update")
+    assert {(r.k, r.n, r.total) for r in got.collect()} == {(k, 5, float(sum(range(k, 20, 4)))) for k in range(4)}
 
 
 def test_windowed_stream(spark, tmp_path):

@@ -30,11 +30,13 @@ def line_protocol(df: DataFrame, line: str = "value") -> DataFrame:
 
     # the head is named twice, so that it isn't split for each tag
     df = df.select(t.alias("line"), split(part(1)).alias("head"), split(part(2)).alias("body"), part(3).alias("at"))
+    whole = F.forall(F.concat(F.slice("head", 2, F.greatest(F.size("head"), F.lit(1))), "body"), lambda x: x.rlike(r"^(?:\\.|[^=\\])++=."))
+    df = df.withColumns({c: F.when(whole, F.col(c)).otherwise(F.array().cast("array<string>")) for c in ("head", "body")})
     return df.select(
         plain(F.get("head", F.lit(0))).alias("measurement"),
         last_wins(F.when(F.size("head") > 1, F.transform(F.slice("head", 2, F.size("head")), pair)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))).alias("tags"),
         last_wins(F.transform("body", pair)).alias("fields"),
-        F.when(F.col("at") != "", F.col("at")).cast("bigint").alias("time"),
+        F.when(F.col("at") != "", F.col("at")).try_cast("bigint").alias("time"),
         "line",
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,12 @@ def balance(df: DataFrame, key: str, shards: int = 32) -> DataFrame:
     every = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard_id")).join(counts, "shard_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     out = every.agg(F.avg("n").alias("mean_rows"), F.stddev_pop("n").alias("stddev_rows"), F.min("n").alias("min_rows"), F.max("n").alias("max_rows"))
     return out.withColumn("needs_rebalance", F.col("max_rows") > 1.2 * F.col("mean_rows"))
+
+
+def shard_for_value(value: int | str, kind: str, shards: int = 32) -> int:
+    """The shard_index of one value, without a job."""
+    if kind in WIDTHS:
+        data = int(value).to_bytes(WIDTHS[kind] // 2, "little", signed=True)
+    else:
+        data = bytes.fromhex(str(value).replace("-", "")) if kind == "uuid" else str(value).encode()
+    return zlib.crc32(data) % shards

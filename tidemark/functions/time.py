@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets are aligned to 2000-01-01 UTC.
@@ -52,6 +52,48 @@ def chunk_range(width: str | int, ts: Column) -> Column:
     return F.struct(start.alias("start"), F.timestamp_micros(unix_micros(start) + micros(width)).cast("timestamp_ntz").alias("end"))
 
 
+def gapfill(df: DataFrame, bucket: str, width: str, start: datetime, end: datetime, by: list[str]) -> DataFrame:
+    """df, a row for each key and bucket, with rows of nulls for the buckets from start on, before end, that a key lacks. Rows outside go."""
+    w = micros(width)
+    at = F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end - timedelta(microseconds=1)).cast("timestamp_ntz"), F.expr(f"INTERVAL {w / 10**6:f} SECOND")))
+    every = df.select(*by).distinct().select(*by, at.alias(bucket)) if by else df.sparkSession.range(1).select(at.alias(bucket))
+    return every.join(df, [*by, bucket], "left").select(*df.columns)
+
+
+def locf(df: DataFrame, columns: list[str], order: str, by: list[str]) -> DataFrame:
+    """Nulls replaced by the last value before them in their key."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+
+
+def interpolate(df: DataFrame, columns: list[str], order: str, by: list[str]) -> DataFrame:
+    """Nulls between two values of their key replaced by the straight line between these; others stay."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    at = unix_micros(F.col(order)) if df.schema[order].dataType.typeName().startswith("timestamp") else F.col(order)
+    out = {}
+    for c in columns:
+        point = F.when(F.col(c).isNotNull(), F.struct(at.alias("t"), F.col(c).cast("double").alias("v")))
+        lo, hi = F.last(point, ignorenulls=True).over(before), F.first(point, ignorenulls=True).over(after)
+        out[c] = F.when(F.col(c).isNotNull(), F.col(c).cast("double")).otherwise(lo.v + (hi.v - lo.v) * (at - lo.t) / (hi.t - lo.t))
+    return df.withColumns(out)
+
+
+def first(value: Column, order: Column) -> Column:
+    """The value where order is least."""
+    return F.min_by(value, order)
+
+
+def last(value: Column, order: Column) -> Column:
+    return F.max_by(value, order)
+
+
+def histogram(value: Column, low: float, high: float, n: int) -> Column:
+    """An array of counts: below low, n equal parts from low on, and high and above."""
+    i = F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(n))
+    return F.array(*[F.count(F.when(i == k, 1)) for k in range(n + 2)])
+
+
 def _field(text: str, low: int, high: int) -> set[int]:
     """The values of a cron field: *, */n, a, a-b, a-b/n and lists of them."""
     out: set[int] = set()

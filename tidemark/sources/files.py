@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Prefixes of places, and formats by file extension.
@@ -35,3 +38,14 @@ def save(df: DataFrame, url: str, mode: str = "append", partition_by: tuple[str,
 def new_files(spark: SparkSession, path: str, schema: str, pattern: str = "*", fmt: str = "json", per_trigger: int = 1000) -> DataFrame:
     """A stream of the files of a folder whose names match; its checkpoint remembers what has been read."""
     return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(path)
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs on one machine, a
+    temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; set it to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"

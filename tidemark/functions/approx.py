@@ -116,14 +116,10 @@ def merged(digests: DataFrame, by: list[str], delta: float = 100, kind: int = 1)
 
     @F.pandas_udf(DIGEST)
     def merge(c: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        out = []
-        for cs, lows, highs in zip(c, low, high):
-            parts = [(np.array([y["mean"] for y in x]), np.array([y["weight"] for y in x]), a, b) for x, a, b in zip(cs, lows, highs) if len(x)]
-            out.append(_digest(parts, delta, kind))
-        return pd.DataFrame(out)
-
-    lists = digests.groupBy(*by).agg(*[F.collect_list(f"digest.{f}").alias(f) for f in ("centroids", "min", "max")])
-    return lists.select(*by, merge("centroids", "min", "max").alias("digest"))
+        return pd.DataFrame([_digest([_part({"centroids": x, "min": a, "max": b})] if len(x) else [], delta, kind) for x, a, b in zip(c, low, high)])
+
+    lists = digests.groupBy(*by).agg(F.flatten(F.collect_list("digest.centroids")).alias("c"), F.min("digest.min").alias("lo"), F.max("digest.max").alias("hi"))
+    return lists.select(*by, merge("c", "lo", "hi").alias("digest"))
 
 
 def _places(d: Column) -> tuple[Column, Column]:

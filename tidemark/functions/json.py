@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from json import dumps, loads
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,65 @@ def contains(doc: Column, part: dict, at: str = "$") -> Column:
     return out
 
 
+def contained(doc: Column, whole: dict) -> Column:
+    """Whether whole holds every key and value of doc, at every depth; doc is an object. Arrays are compared as text without spaces."""
+    out = F.forall(F.json_object_keys(doc), lambda k: k.isin(*whole) if whole else F.lit(False))
+    for k, v in whole.items():
+        here = F.get_json_object(doc, f"$.{k}")
+        if isinstance(v, dict):
+            same = here.startswith("{") & contained(here, v)
+        elif v is None:
+            same = here.isNull()
+        elif isinstance(v, bool):
+            same = here == str(v).lower()
+        elif isinstance(v, (int, float)):
+            same = here.try_cast("double") == float(v)
+        else:
+            same = here == (v if isinstance(v, str) else dumps(v, separators=(",", ":")))
+        out = out & (~has_key(doc, k) | F.coalesce(same, F.lit(False)))
+    return F.coalesce(out, F.lit(False))
+
+
+def path_exists(doc: Column, at: str) -> Column:
+    """Whether anything, a null too, stands at a path."""
+    p = path(at)
+    parent, _, key = p.rpartition(".")
+    there = F.get_json_object(doc, p).isNotNull()
+    return there | (has_key(F.get_json_object(doc, parent) if parent != "$" else doc, key) if parent and not key.endswith("]") else F.lit(False))
+
+
+#: Comparisons of path predicates.
+COMPARISONS = {"=": "=", "==": "=", "!=": "<>", "<>": "<>", "<": "<", "<=": "<=", ">": ">", ">=": ">="}
+
+
+def path_matches(doc: Column, predicate: str) -> Column:
+    """A predicate such as `$.a.b >= 5` or `$.t == "x"`, false where the path is missing; numbers compare as numbers, text as text."""
+    m = re.fullmatch(r"\s*(\$\S*)\s*(==|!=|<>|<=|>=|=|<|>)\s*(.+?)\s*", predicate)
+    if not m:
+        raise ValueError(f"no such predicate: {predicate}")
+    value, found = loads(m[3]), F.get_json_object(doc, path(m[1]))
+    if isinstance(value, bool):
+        found, value = found, str(value).lower()
+    elif isinstance(value, (int, float)):
+        found, value = found.try_cast("double"), float(value)
+    compare = {"=": found == value, "<>": found != value, "<": found < value, "<=": found <= value, ">": found > value, ">=": found >= value}
+    return F.coalesce(compare[COMPARISONS[m[2]]], F.lit(False))
+
+
+def explain(df: DataFrame, doc: str, at: str, shredded: dict[str, str] | None = None) -> dict:
+    """How a path would be read: from a shredded column, which Parquet can skip by, or from the text; and the plan."""
+    p = path(at)
+    column = {path(k): c for k, c in (shredded or {}).items()}.get(p)
+    found = df.where(F.col(column).isNotNull()) if column else query(df, doc, p)
+    return {"path": p, "column": column, "pushed_down": column is not None, "plan": found._jdf.queryExecution().executedPlan().toString()}
+
+
+def query_stats(df: DataFrame, doc: str, at: str) -> DataFrame:
+    """(rows, present, distinct, share) of one path, in one pass."""
+    v = F.get_json_object(F.col(doc), path(at))
+    return df.agg(F.count("*").alias("rows"), F.count(v).alias("present"), F.approx_count_distinct(v).alias("distinct"), (F.count(v) / F.count("*")).alias("share"))
+
+
 def query(df: DataFrame, doc: str, at: str) -> DataFrame:
     """The rows in which the path is present."""
     return df.where(F.get_json_object(doc, path(at)).isNotNull())
@@ -103,3 +163,23 @@ def advice(stats: DataFrame, accesses: int = 1) -> DataFrame:
     kind = F.when(F.col("type").isin("object", "array"), "gin").when(F.col("type") == "number", "btree").when(F.col("type") == "string", "hash").otherwise("expression")
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in BENEFIT.items() for x in kv]), F.col("kind"))
     return stats.withColumn("kind", kind).withColumn("benefit", (1 - F.least(F.col("share"), F.lit(1.0))) * accesses * weight).withColumn("extract", ~F.col("type").isin("object", "array") & (F.col("share") <= 0.9))
+
+
+def auto_extract(stats: DataFrame, accesses: dict[str, int], top: int = 10) -> DataFrame:
+    """The paths to shred: by accesses times the share that lack them, the largest first; no objects, arrays or paths that nearly all rows have."""
+    counts = stats.sparkSession.createDataFrame([(path(k), v) for k, v in accesses.items()], "path string, accesses bigint")
+    weighed = advice(stats.join(F.broadcast(counts), "path")).withColumn("benefit", F.col("accesses") * (1 - F.least(F.col("share"), F.lit(1.0))))
+    return weighed.where("extract").orderBy(F.desc("benefit"), "path").limit(top)
+
+
+def columnar_info(df: DataFrame, doc: str, shredded: dict[str, tuple[str, str]]) -> DataFrame:
+    """(name, path, type, filled, share) of each shredded column: how far it stands for its path."""
+    names = list(shredded)
+    one = df.agg(F.count("*").alias("rows"), *[F.count(n).alias(f"f_{i}") for i, n in enumerate(names)])
+    each = [F.struct(F.lit(n).alias("name"), F.lit(path(shredded[n][0])).alias("path"), F.lit(shredded[n][1]).alias("type"), F.col(f"f_{i}").alias("filled"), (F.col(f"f_{i}") / F.col("rows")).alias("share")) for i, n in enumerate(names)]
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def refreshed(df: DataFrame, doc: str, shredded: dict[str, tuple[str, str]]) -> DataFrame:
+    """The shredded columns made anew from the text."""
+    return shred(df.drop(*shredded), doc, shredded)

@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +64,12 @@ def from_text(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
+def typed(v: Column, n: int) -> Column:
+    """v as a vector of n dimensions; an error for another length or an element that is missing."""
+    bad = (F.size(v) != n) | F.exists(v, lambda x: x.isNull())
+    return F.when(bad, F.raise_error(F.lit(f"a vector of {n} dimensions was expected")).cast("array<double>")).otherwise(v.cast("array<double>"))
+
+
 def to_text(v: Column) -> Column:
     return F.to_json(v)
 
@@ -84,3 +92,80 @@ def summed(df: DataFrame, vector: str, by: Sequence[str] = (), mean: bool = Fals
     at = df.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg((F.avg if mean else F.sum)(F.col("x").cast("double")).alias("x"))
     out = at.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias(vector))
     return out.withColumn(vector, normalize(F.col(vector))) if unit else out
+
+
+def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1000, others: bool = True) -> DataFrame:
+    """(q, n, distance): the k nearest rows of df for each row of a stated query set with the same columns, itself left out if `others`. A block
+    of queries at a time is held against every row; each task keeps k rows of a query before rows move."""
+    from functools import reduce
+
+    e, q = df.select(F.col(key).alias("n"), F.col(vector).alias("e")), queries.select(F.col(key).alias("q"), F.col(vector).alias("v"))
+    blocks = max(1, -(-q.count() // block))
+
+    def held(i: int) -> DataFrame:
+        mine = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
+        pairs = e.join(mine, (F.col("n") != F.col("q")) if others else F.lit(True)).select("q", "n", l2_distance(F.col("e"), F.col("v")).alias("distance"))
+        return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("distance", "n"))).where(F.col("rn") <= k).drop("rn")
+
+    return reduce(DataFrame.unionByName, map(held, range(blocks)))
+
+
+class Cells:
+    """An inverted file: rows by the nearest of `lists` centroids, which are fitted on at most `sample` vectors, drawn by the hash of their
+    key. Every row is in the index; a search looks at the cells of the `probe` nearest centroids and compares exactly there."""
+
+    def __init__(self, df: DataFrame, key: str, vector: str, lists: int = 100, sample: int = 20_000, rounds: int = 10, seed: int = 0):
+        self.key, self.vector = key, vector
+        drawn = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(vector).toPandas()[vector]
+        x = np.stack([np.asarray(v, np.float64) for v in drawn]) if len(drawn) else np.zeros((0, 0))
+        rng = np.random.default_rng(seed)
+        c = x[np.sort(rng.choice(len(x), min(lists, len(x)), replace=False))]
+        for _ in range(rounds if len(x) else 0):
+            at = self._order(c, x)[:, 0]
+            for i in range(len(c)):
+                if (at == i).any():
+                    c[i] = x[at == i].mean(0)
+        self.centroids = c
+        self.shared = df.sparkSession.sparkContext.broadcast(c)
+
+    @staticmethod
+    def _order(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For each row of x the centroids, the nearest first."""
+        return np.argsort((c**2).sum(1)[None] - 2 * x @ c.T, axis=1, kind="stable")
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """df with the cell of each row; null vectors are in none."""
+        shared = self.shared
+
+        @F.pandas_udf("int")
+        def cell(v: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(v), index=v.index, dtype="Int32")
+            there = v.notna()
+            if there.any():
+                out[there] = Cells._order(shared.value, np.stack([np.asarray(y, np.float64) for y in v[there]]))[:, 0]
+            return out
+
+        return df.withColumn("cell", cell(F.col(self.vector)))
+
+    def search(self, indexed: DataFrame, queries: DataFrame, k: int, probe: int = 10, block: int = 1000, others: bool = True) -> DataFrame:
+        """(q, n, distance). A block of queries is held against the rows of its cells, row by row where they lie: a cell may hold most rows, and
+        none of them moves but the k nearest of each task."""
+        from functools import reduce
+
+        shared = self.shared
+
+        @F.pandas_udf("array<int>")
+        def probed(v: pd.Series) -> pd.Series:
+            return pd.Series([o.tolist() for o in Cells._order(shared.value, np.stack([np.asarray(y, np.float64) for y in v]))[:, :probe]])
+
+        q = queries.where(F.col(self.vector).isNotNull()).select(F.col(self.key).alias("q"), F.col(self.vector).alias("v"))
+        q = q.select("q", "v", F.explode(probed("v")).alias("cell"))
+        e = indexed.select(F.col(self.key).alias("n"), F.col(self.vector).alias("e"), "cell")
+        blocks = max(1, -(-q.count() // (block * probe)))
+
+        def held(i: int) -> DataFrame:
+            mine = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
+            pairs = e.join(mine, "cell").where((F.col("n") != F.col("q")) if others else F.lit(True)).select("q", "n", l2_distance(F.col("e"), F.col("v")).alias("distance"))
+            return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("distance", "n"))).where(F.col("rn") <= k).drop("rn")
+
+        return reduce(DataFrame.unionByName, map(held, range(blocks)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -51,10 +52,84 @@ class Subscription:
         self.query = self.serialized(events).writeStream.queryName(self.name).foreachBatch(send).option("checkpointLocation", checkpoint).start()
         return self.query
 
+    def to_folder(self, events: DataFrame, path: str, checkpoint: str, max_records: int = 1_000_000, max_files: int | None = None) -> StreamingQuery:
+        """As to_files, a folder for each micro-batch; of more than max_files folders the oldest go."""
+
+        def write(df: DataFrame, number: int) -> None:
+            df.select("value").write.mode("overwrite").option("maxRecordsPerFile", max_records).text(f"{path}/batch={number:012d}")
+            if max_files:
+                spark = df.sparkSession
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+                names = sorted(s.getPath().getName() for s in fs.listStatus(at))
+                for old in [n for n in names if n.startswith("batch=")][:-max_files]:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+
+        self.query = self.serialized(events).writeStream.queryName(self.name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return self.query
+
+    def to_url(self, events: DataFrame, url: str, checkpoint: str, headers: dict[str, str] | None = None, timeout: float = 10, retries: int = 3) -> StreamingQuery:
+        """Posts each event to a web hook, from the tasks; the batch fails, and is sent again, if a post fails for good."""
+        headers = {"Content-Type": "application/json"} | (headers or {})
+
+        def send(rows) -> None:
+            from urllib.request import Request, urlopen
+
+            for r in rows:
+                for attempt in range(retries + 1):
+                    try:
+                        urlopen(Request(url, r.value.encode(), headers), timeout=timeout).close()
+                        break
+                    except OSError:
+                        if attempt == retries:
+                            raise
+
+        return self.to_each(events, lambda df, number: df.foreachPartition(send), checkpoint)
+
     def stop(self) -> None:
         if self.query:
             self.query.stop()
 
+    pause = stop
+
+    def status(self) -> str:
+        return "created" if not self.query else "running" if self.query.isActive else "stopped"
+
     def lag(self) -> int | None:
         """Rows of the last micro-batch."""
         return self.query.lastProgress["numInputRows"] if self.query and self.query.lastProgress else None
+
+
+@dataclass
+class Subscriptions:
+    """Subscriptions by name, each with how it is started; its checkpoint says where it goes on."""
+
+    known: dict[str, tuple[Subscription, Callable[[Subscription], StreamingQuery]]] = field(default_factory=dict)
+
+    def create(self, subscription: Subscription, start: Callable[[Subscription], StreamingQuery]) -> Subscription:
+        if subscription.name in self.known:
+            raise ValueError(f"there is a subscription {subscription.name}")
+        self.known[subscription.name] = subscription, start
+        return subscription
+
+    def start(self, name: str) -> StreamingQuery:
+        s, start = self.known[name]
+        return s.query if s.query and s.query.isActive else start(s)
+
+    resume = start
+
+    def pause(self, name: str) -> None:
+        self.known[name][0].stop()
+
+    stop = pause
+
+    def restart(self, name: str) -> StreamingQuery:
+        self.pause(name)
+        return self.start(name)
+
+    def drop(self, name: str) -> None:
+        self.pause(name)
+        del self.known[name]
+
+    def list(self) -> dict[str, dict]:
+        return {n: {"status": s.status(), "lag": s.lag()} for n, (s, _) in self.known.items()}

@@ -27,3 +27,15 @@ def in_range(points: DataFrame, intervals: DataFrame, point: str, start: str, en
     p = points.withColumn("_b", F.floor(F.col(point) / width))
     i = intervals.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     return p.join(i, "_b").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_b")
+
+
+def not_in(left: DataFrame, column: str, right: DataFrame, right_column: str) -> DataFrame:
+    """The rows of left whose value isn't among right's, as SQL has it: none if right has a null, all if right is empty, and no row with a null
+    unless right is empty. The null is looked for once; then it is an anti join on right's different values, and nothing is broadcast unasked."""
+    values = right.select(F.col(right_column).alias("_v")).distinct()
+    found = values.agg(F.count("*").alias("n"), F.count("_v").alias("known")).first()
+    if found.n == 0:
+        return left
+    if found.known < found.n:
+        return left.limit(0)
+    return left.where(F.col(column).isNotNull()).join(values, F.col(column) == F.col("_v"), "left_anti")

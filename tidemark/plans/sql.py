@@ -48,7 +48,7 @@ TPCH = {
         FROM {{part}} JOIN {{lineitem}} ON p_partkey = l_partkey JOIN {{supplier}} ON s_suppkey = l_suppkey JOIN ps ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{nation}} ON s_nationkey = n_nationkey WHERE p_type LIKE '%RO%' GROUP BY n_name, year(o_orderdate)""",
     "tpch_q10": f"""SELECT c_custkey, c_name, round(sum({REVENUE}), 2) AS revenue, c_acctbal, n_name FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{nation}} ON c_nationkey = n_nationkey
         WHERE o_orderdate >= DATE '1997-10-01' AND o_orderdate < DATE '1998-01-01' AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
-    "tpch_q11": f"""WITH {PARTSUPP}, v AS (SELECT ps_partkey, sum(ps_supplycost * ps_availqty) AS value FROM ps JOIN {{supplier}} ON ps_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_7') GROUP BY ps_partkey)
+    "tpch_q11": f"""WITH {PARTSUPP}, v AS (SELECT ps_partkey, CAST(sum(CAST(ps_supplycost * ps_availqty AS DECIMAL(18, 4))) AS DOUBLE) AS value FROM ps JOIN {{supplier}} ON ps_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_7') GROUP BY ps_partkey)
         SELECT ps_partkey, round(value, 2) AS value FROM v WHERE value > (SELECT sum(value) * 0.001 FROM v)""",
     "tpch_q12": """SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
         FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_returnflag IN ('A', 'R') AND l_shipdate > o_orderdate + INTERVAL '60' DAY AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' GROUP BY l_returnflag""",

@@ -391,23 +391,22 @@ def test_toxicity_is_a_convolution(spark, monkeypatch):
     assert (drawn["toxic"] == drawn["id"] % 2).all()
 
 
-def test_packing_ids():
+def test_packing_ids(monkeypatch):
     """Plain tokenizers, also for added tokens, letters that few know, and parts met once the cache is full."""
     import pyarrow as pa
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
     odd = ["a <|endoftext|> b", "A <|ENDOFTEXT|> b", "x<|endoftext|>.", "<|startoftext|><|endoftext|>", "Ab<|endoftext|>Cd.", "İİ ΛΟΓΟΣ. ſtk K, don't. '.", "a.,b ., .", "e\u0301́ É.", " ̈x", "\xa0a\u2003b\tc\r\n d", "日本 🎉 ǅ ª ʰ ٣ Ⅷ", "", None, "  ", "x" * 5000 + " a", *[x for _, x in texts()]]
-    for cached in (10**6, 5):
-        e = packing.Encoder(path)
-        packing.CACHED, before = cached, packing.CACHED
-        try:
+    for cached in (10**6, 5, 0):
+        for gathered in (1 << 18, 3):
+            monkeypatch.setattr(packing, "GATHERED", gathered)
+            e = packing.Encoder(path, cached)
             for _ in range(2):
                 ids, n = e.encode(pa.array(odd, pa.string()))
                 got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
                 assert got == [t.encode(x or "", add_special_tokens=False).ids for x in odd]
-        finally:
-            packing.CACHED = before
+                assert len(e.known) < 10 or cached
     assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
 
 
@@ -427,6 +426,8 @@ def test_packing(docs):
             got.append((repr(p.doc_id), zlib.crc32(np.array(current, "<u4").tobytes())))
             current = []
     assert not current and sorted(got) == want
+    small = packing.pack(docs, path, ids=True, at_once=1000, cached=0).orderBy("sequence_id", "offset").collect()
+    assert sorted((repr(p.doc_id), p.start, p.ids_crc32) for p in small if p.doc_tokens < 2000 and p.length == p.doc_tokens)[:5] and sum(p.length for p in small) == sum(p.length for p in pieces)
     assert packing.pack(docs.limit(0), path).count() == 0
 
 

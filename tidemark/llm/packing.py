@@ -31,15 +31,16 @@ LENGTH, END = 2048, 1
 #: Distinct parts of texts whose ids a worker keeps, and the longest part that it keeps.
 CACHED, LONGEST = 500_000, 64
 ENDS = (".", ",")
-#: Bytes of texts that are encoded at once, a longer text alone; new parts that go to the tokenizer at once and in one text.
-BYTES, BATCH, JOINED = 8_000_000, 20_000, 200
+#: Bytes of texts that are encoded at once, a longer text alone; new parts that go to the tokenizer at once and in one text; parts whose ids are
+#: gathered at once.
+BYTES, BATCH, JOINED, GATHERED = 16_000_000, 20_000, 200, 1 << 18
 
 
 class Encoder:
     """Ids of texts as plain `tokenizers` gives them, with add_special_tokens=False. The vocabulary's pre-tokenizer drops white space
     and no token crosses it, so texts are cut at spaces and line ends, and each different part is encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,10 +50,7 @@ class Encoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        """Lets all ids go: a worker keeps no cache from one task to the next, as most of what a task meets is new to it."""
+        self.cached = cached
         self.known: dict[str, int] = {}  # which stretch of ids a part has
         self.start, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
         self.add(["", *ENDS])
@@ -82,9 +80,12 @@ class Encoder:
 
     def stretch(self, slots: np.ndarray) -> np.ndarray:
         """The ids of slots one after another."""
-        n = self.size[slots]
-        upto = np.cumsum(n)
-        return self.ids[np.arange(upto[-1] if len(n) else 0, dtype=np.int32) + np.repeat(self.start[slots] - (upto - n).astype(np.int32), n)]
+        out = []
+        for i in range(0, len(slots), GATHERED):
+            n = self.size[some := slots[i : i + GATHERED]]
+            upto = np.cumsum(n, dtype=np.int32)
+            out.append(self.ids[np.arange(upto[-1], dtype=np.int32) + np.repeat(self.start[some] - (upto - n), n)])
+        return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
     def learn(self, parts: list[str]) -> None:
         """Lists the ids of parts that aren't known. The vocabulary lower-cases all but its added tokens, and letters and one stop or
@@ -106,20 +107,23 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and how many each text has."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
-        parts, before = coded.dictionary.to_pylist(), (len(self.known), len(self.size), len(self.ids))
-        full = before[0] > CACHED
+        of_text, coded = np.diff(split.offsets.to_numpy()), split.flatten().dictionary_encode()
+        del split
+        parts, at, before = coded.dictionary.to_pylist(), coded.indices.to_numpy(), (len(self.known), len(self.size), len(self.ids))
+        full = before[0] > self.cached
         slots = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int32, len(parts))
-        at = np.flatnonzero(slots < 0)
-        new = [parts[k] for k in at]
+        lacking = np.flatnonzero(slots < 0)
+        new = [parts[k] for k in lacking]
+        del parts
         self.learn([p for p in new if len(p) <= LONGEST] if not full else new)
         if not full:
             before = (len(self.known), len(self.size), len(self.ids))
             self.learn([p for p in new if len(p) > LONGEST])
-        slots[at] = np.fromiter(map(self.known.__getitem__, new), np.int32, len(new))
-        slots = slots[coded.indices.to_numpy()]
-        ids, upto = self.stretch(slots), np.r_[0, np.cumsum(self.size[slots])]
-        n = np.diff(upto[np.r_[0, np.cumsum(np.diff(split.offsets.to_numpy()))]])
+        slots[lacking] = np.fromiter(map(self.known.__getitem__, new), np.int32, len(new))
+        del new
+        slots = slots[at]
+        ids, upto = self.stretch(slots), np.r_[0, np.cumsum(self.size[slots], dtype=np.int64)]
+        n = np.diff(upto[np.r_[0, np.cumsum(of_text, dtype=np.int64)]])
         # frequent parts are met early: once the cache is full, what is new is let go
         while len(self.known) > before[0]:
             self.known.popitem()
@@ -127,14 +131,14 @@ class Encoder:
         return ids, n
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached: int) -> Encoder:
     """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cached) not in _encoders:
+        _encoders[path, cached] = Encoder(path, cached)
+    return _encoders[path, cached]
 
 
 def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -149,8 +153,9 @@ def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """(id, task, before, n, ids), stored: ids end with the end id; before: tokens that the task wrote before."""
+def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END, at_once: int = BYTES, cached: int = CACHED) -> DataFrame:
+    """(id, task, before, n, ids), stored: ids end with the end id; before: tokens that the task wrote before. at_once and cached trade memory for
+    time, and change nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -158,8 +163,8 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task, done = TaskContext.get().partitionId(), 0
         for x in fresh(batches):
-            for a, b in stretches(pc.fill_null(pc.binary_length(x["t"]), 0).to_numpy(), BYTES):
-                ids, n = encoder(path).encode(x["t"].slice(a, b - a))
+            for a, b in stretches(pc.fill_null(pc.binary_length(x["t"]), 0).to_numpy(), at_once):
+                ids, n = encoder(path, cached).encode(x["t"].slice(a, b - a))
                 ids, n = np.insert(ids, np.cumsum(n), end).astype("<u2"), n + 1
                 upto = np.cumsum(n)
                 body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * np.r_[0, upto]).astype(np.int32)), pa.py_buffer(ids)])
@@ -167,7 +172,6 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
                 done += int(upto[-1])
                 del ids, n, upto, body
                 pa.default_memory_pool().release_unused()
-        encoder(path).forget()
 
     # ids travel as text: pandas, which reads them later, would turn numbers with nulls into floats
     df = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id string, task int, before bigint, n bigint, ids binary")
@@ -175,9 +179,9 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     return docs.sparkSession.read.parquet(at)
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text", ids: bool = False, at_once: int = BYTES, cached: int = CACHED) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked for."""
-    tokens = tokenized(docs, path, doc_id, text, end)
+    tokens = tokenized(docs, path, doc_id, text, end, at_once, cached)
     totals = tokens.groupBy("task").agg(F.max(F.col("before") + F.col("n")).alias("n")).orderBy("task").collect()  # one number for each task
     base = np.zeros(max((r.task for r in totals), default=0) + 1, np.int64)
     at = 0

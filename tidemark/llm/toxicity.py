@@ -33,7 +33,7 @@ from tidemark.llm.common import fresh, held_out
 
 WORD = re.compile(r"[^\W_]+")
 WIDTHS, FILTERS, DIM, EPOCHS, BATCH = (1, 2, 3), 12, 8, 6, 32
-PER_CLASS, MOST_TEXTS, LEAST_TEXTS, STRETCH, CACHED = 1500, 6000, 3, 100_000, 250_000
+PER_CLASS, MOST_TEXTS, LEAST_TEXTS, STRETCH, CACHED = 1500, 6000, 3, 100_000, 100_000
 #: Function words by which a text's language is guessed for its threshold.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was with as be on by at this from are".split(),

@@ -8,7 +8,8 @@ there, its sequence and offset there. Only the last sequence has padding, so tha
 The tokens are read again as they were written, so that a lost executor can't change an offset. Nothing is shuffled.
 
 Defined results: a null or empty text is the end id alone. Ids may be null or repeated; each row is a document of its own.
-An empty table gives no pieces.
+An empty table gives no pieces. Whole texts are packed, however long; a text is held whole in memory. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

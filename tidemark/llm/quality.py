@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one chain of Spark projections, without user functions.
 
 Defined results: a null or empty text has no words, so it fails the base rule and isn't kept; doc_id is carried through,
-null or repeated as it may be, one row out for each row in; other columns of the input are ignored, whatever their names.
+null or repeated as it may be, one row out for each row in and none of an empty table; whole texts are judged, however long; other columns of the input are ignored, whatever their names.
 Nothing is shuffled: each text is judged in the task that read it.
 """
 

@@ -14,7 +14,8 @@
 
 Defined results: null, empty and blank texts have no shingles and the fingerprint zero, linked like any other. doc_id may
 repeat: rows are judged by their text, and a component's name is its smallest doc_id. A row with a null doc_id takes part
-in linking, but never names a component unless all its ids are null. One row out for each row in.
+in linking, but never names a component unless all its ids are null. One row out for each row in, and none of an empty table. Whole
+texts count, however long; other columns are ignored, or kept as they are by `deduplicated`, whatever their names.
 """
 
 from __future__ import annotations

@@ -397,7 +397,7 @@ def test_packing_ids(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
-    odd = ["a <|endoftext|> b", "A <|ENDOFTEXT|> b", "x<|endoftext|>.", "<|startoftext|><|endoftext|>", "Ab<|endoftext|>Cd.", "İİ ΛΟΓΟΣ. ſtk K, don't. '.", "a.,b ., .", "e\u0301́ É.", " ̈x", "\xa0a\u2003b\tc\r\n d", "日本 🎉 ǅ ª ʰ ٣ Ⅷ", "", None, "  ", "x" * 5000 + " a", *[x for _, x in texts()]]
+    odd = ["a <|endoftext|> b", "A <|ENDOFTEXT|> b", "x<|endoftext|>.", "<|startoftext|><|endoftext|>", "Ab<|endoftext|>Cd.", "İİ ΛΟΓΟΣ. ſtk K, don't. '.", "a.,b ., .", "e\u0301́ É.", " ̈x", "\xa0a\u2003b\tc\r\n d", "日本 🎉 ǅ ª ʰ ٣ Ⅷ", "H\u0331 W\u030A h\u0331 TJ\u030C.", "Abc <|ENDOFTEXT|> D<|endoftext|>E,", "X. x, X, ABC abc Abc. .", "", None, "  ", "x" * 5000 + " a", *[x for _, x in texts()]]
     for cached in (10**6, 5, 0):
         for gathered in (1 << 18, 3):
             monkeypatch.setattr(packing, "GATHERED", gathered)

@@ -14,6 +14,7 @@ their names.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -32,6 +33,8 @@ LENGTH, END = 2048, 1
 #: Distinct parts of texts whose ids a worker keeps, and the longest part that it keeps.
 CACHED, LONGEST = 500_000, 64
 ENDS = (".", ",")
+#: Marks that can join an ASCII letter, which need not do so alike in both cases.
+MARKS = r"[\x{300}-\x{36f}]"
 #: Bytes of texts that are encoded at once, a longer text alone; new parts that go to the tokenizer at once and in one text; parts whose ids are
 #: gathered at once.
 BYTES, BATCH, JOINED, GATHERED = 16_000_000, 20_000, 200, 1 << 18
@@ -39,45 +42,54 @@ BYTES, BATCH, JOINED, GATHERED = 16_000_000, 20_000, 200, 1 << 18
 
 class Encoder:
     """Ids of texts as plain `tokenizers` gives them, with add_special_tokens=False. The vocabulary's pre-tokenizer drops white space
-    and no token crosses it, so texts are cut at spaces and line ends, and each different part is encoded once."""
+    and no token crosses it, so texts are cut at spaces and line ends, and each different part is encoded once. The vocabulary lower-cases
+    all but its added tokens, and what it does besides leaves words of a-z as they are: those go to the bare model."""
 
     def __init__(self, path: str, cached: int = CACHED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: In such texts the case of ASCII letters is left to the tokenizer; all others are lower-cased before they are cut.
+        self.cased = "|".join([MARKS, *(f"(?i:{t})" for t in added)])
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.cached = cached
         self.known: dict[str, int] = {}  # which stretch of ids a part has
+        self.passing: dict[str, int] = {}  # the same for parts that aren't kept
         self.start, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
-        self.add(["", *ENDS])
+        self.add(["", *ENDS], self.known)
 
-    def listed(self, parts: list[str], size: np.ndarray, ids: np.ndarray) -> None:
-        self.known.update(zip(parts, range(len(self.size), len(self.size) + len(parts))))
+    def listed(self, parts: list[str], size: np.ndarray, ids: np.ndarray, into: dict[str, int]) -> None:
+        into.update(zip(parts, range(len(self.size), len(self.size) + len(parts))))
         self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
         self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
 
-    def add(self, parts: list[str]) -> None:
+    def add(self, parts: list[str], into: dict[str, int]) -> None:
         """Parts of letters alone are one pre-token each, and the last id of a pre-token says so: many are encoded as one text."""
-        letters, other = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
-        for i in range(0, len(letters), BATCH):
-            some = letters[i : i + BATCH]
-            joined = self.tokenizer.encode_batch_fast([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.uint16) for e in joined])
-            upto = np.flatnonzero(self.ends[ids]) + 1
-            if len(upto) == len(some):
-                self.listed(some, np.diff(upto, prepend=0).astype(np.int32), ids)
-            else:  # letters to Python and not to the pre-tokenizer
-                other += some
+        plain, letters, other = [], [], []
+        for p in parts:
+            (other if not p.isalpha() else plain if p.isascii() and p.islower() else letters).append(p)
+        for tokenizer, words in ((self.model, plain), (self.tokenizer, letters)):
+            for i in range(0, len(words), BATCH):
+                some = words[i : i + BATCH]
+                joined = tokenizer.encode_batch_fast([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
+                ids = np.concatenate([np.array(e.ids, np.uint16) for e in joined])
+                upto = np.flatnonzero(self.ends[ids]) + 1
+                if len(upto) == len(some):
+                    self.listed(some, np.diff(upto, prepend=0).astype(np.int32), ids, into)
+                else:  # letters to Python and not to the pre-tokenizer
+                    other += some
         for i in range(0, len(other), BATCH):
             some = other[i : i + BATCH]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int32, len(found))
-            self.listed(some, size, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum())))
+            self.listed(some, size, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum())), into)
 
     def stretch(self, slots: np.ndarray) -> np.ndarray:
         """The ids of slots one after another."""
@@ -88,47 +100,42 @@ class Encoder:
             out.append(self.ids[np.arange(upto[-1], dtype=np.int32) + np.repeat(self.start[some] - (upto - n), n)])
         return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
-    def learn(self, parts: list[str]) -> None:
-        """Lists the ids of parts that aren't known. The vocabulary lower-cases all but its added tokens, and letters and one stop or
-        comma are two pre-tokens: only lower-cased letters are encoded."""
-        bare, tail = [], []
-        for p in parts:
-            low = p.lower()
-            if p[-1:] in ENDS and p[:-1].isalpha():
-                bare.append(low[:-1] if p.isascii() else p[:-1])
-                tail.append(1 + ENDS.index(p[-1]))
-            else:
-                bare.append(low if p.isascii() and not any(a in low for a in self.added) else p)
-                tail.append(0)
-        self.add(sorted(set(bare).difference(self.known)))
-        other = [(p, self.known[b], t) for p, b, t in zip(parts, bare, tail) if p != b]
-        both = np.array([x[1:] for x in other], np.int32).ravel()
-        self.listed([x[0] for x in other], self.size[both].reshape(-1, 2).sum(1, dtype=np.int32), self.stretch(both))
+    def learn(self, parts: list[str], into: dict[str, int]) -> None:
+        """Lists the ids of parts that aren't known. Letters and one stop or comma are two pre-tokens: only the letters are encoded."""
+        ended = [p for p in parts if p[-1:] in ENDS and p[:-1].isalpha()]
+        words = set(parts).difference(ended)
+        words.update(p[:-1] for p in ended)
+        self.add(sorted(words.difference(self.known)), into)
+        known, here = self.known, into
+        both = np.array([(known[w] if (w := p[:-1]) in known else here[w], known[p[-1]]) for p in ended], np.int32).ravel()
+        self.listed(ended, self.size[both].reshape(-1, 2).sum(1, dtype=np.int32), self.stretch(both), into)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and how many each text has."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        low = pc.ascii_lower(texts)
+        cased = pc.match_substring_regex(low, self.cased)
+        split = pc.split_pattern(pc.if_else(cased, texts, low) if pc.any(cased).as_py() else low, " ")
         of_text, coded = np.diff(split.offsets.to_numpy()), split.flatten().dictionary_encode()
-        del split
-        parts, at, before = coded.dictionary.to_pylist(), coded.indices.to_numpy(), (len(self.known), len(self.size), len(self.ids))
-        full = before[0] > self.cached
+        del split, low
+        parts, at, before = coded.dictionary.to_pylist(), coded.indices.to_numpy(), (len(self.size), len(self.ids))
+        full = len(self.known) > self.cached
         slots = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int32, len(parts))
         lacking = np.flatnonzero(slots < 0)
-        new = [parts[k] for k in lacking]
+        new = [parts[k] for k in lacking.tolist()]
         del parts
-        self.learn([p for p in new if len(p) <= LONGEST] if not full else new)
+        # frequent parts are met early: once there are enough, what is new is let go
         if not full:
-            before = (len(self.known), len(self.size), len(self.ids))
-            self.learn([p for p in new if len(p) > LONGEST])
-        slots[lacking] = np.fromiter(map(self.known.__getitem__, new), np.int32, len(new))
+            self.learn([p for p in new if len(p) <= LONGEST], self.known)
+            before = (len(self.size), len(self.ids))
+        self.learn([p for p in new if p not in self.known], self.passing)
+        slots[lacking] = [self.known[p] if p in self.known else self.passing[p] for p in new]
         del new
         slots = slots[at]
         ids, upto = self.stretch(slots), np.r_[0, np.cumsum(self.size[slots], dtype=np.int64)]
         n = np.diff(upto[np.r_[0, np.cumsum(of_text, dtype=np.int64)]])
-        # frequent parts are met early: once the cache is full, what is new is let go
-        while len(self.known) > before[0]:
-            self.known.popitem()
-        self.start, self.size, self.ids = self.start[: before[1]], self.size[: before[1]], self.ids[: before[2]]
+        self.passing.clear()
+        self.start, self.size, self.ids = self.start[: before[0]], self.size[: before[0]], self.ids[: before[1]]
         return ids, n
 
 

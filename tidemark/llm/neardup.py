@@ -1,9 +1,11 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Texts with an equal hash are one item from here on.
-2. MinHash: BANDS keys of ROWS least shingle hashes each. What shares a key is linked to the key's least item, and links become
-   coarse components. Two texts at similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: all but 5 in 100,000 pairs at
-   0.8 itself, and all but 3 in 10^10 at 0.9; other members of a component join them besides.
+2. SimHash, by simhash's own steps: a bit of the fingerprint is set if more than half of the shingles have it. At so wide a radius
+   64 bits and bands that are exact choose nothing, so the fingerprint is BANDS pieces of BITS bits, and two texts that agree in one
+   piece are compared bit-sliced in the first WORDS words and linked within RADIUS. Links become coarse components.
+   Two bits differ with probability 0.15 to 0.16 in texts at similarity 0.8 (0.188 in those of 4 and 5 shingles, the most there is): a
+   pair at 0.8 itself is missed with probability 1 in 10^6, or 5 in 100,000 of those; others of a component join them besides.
 3. The shingle sets of each coarse component come together once, in chunks of at most CHUNK, every pair of chunks in a task of its
    own. Every pair of texts there is compared exactly; a spanning forest of the pairs at 0.8 or more goes on.
 4. These links become components.
@@ -24,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, fresh, stored
-from tidemark.llm.simhash import components, firsts_only, forest, named_by_root, space_words
+from tidemark.llm.simhash import components, firsts_only, forest, links_in_keys, named_by_root, space_words
 
-BANDS, ROWS, CHUNK = 25, 5, 512
+BANDS, BITS, WORDS, RADIUS, CHUNK = 117, 12, 3, 60, 512
 #: Columns, shingles, that are multiplied at once.
 BLOCK = 4096
 _RNG = np.random.default_rng(42)
-TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+#: For each word of the fingerprint, what makes its bits of a shingle's hash.
+TIMES = _RNG.integers(0, 1 << 63, -(-BANDS * BITS // 64), np.uint64) * np.uint64(2) + np.uint64(1)
+FLIP = _RNG.integers(0, 1 << 63, len(TIMES), np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -42,12 +46,26 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(w[max(0, e - words) : e]), 42) for e in ends], np.uint64))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(found), 1024):
-        x = (found[at : at + 1024, None] ^ FLIP) * TIMES
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-    return [xxhash.xxh64_intdigest(b.tobytes(), 42) - (1 << 63) for b in least.reshape(BANDS, ROWS)]
+def shingle_bits(found: np.ndarray) -> np.ndarray:
+    """(n, bits) of 0 and 1: the fingerprint of each shingle alone."""
+    x = (found[:, None] ^ FLIP) * TIMES
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    x ^= x >> np.uint64(29)
+    return np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+
+
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the shingles have; where it is just half, those of the least shingle."""
+    votes = np.zeros(64 * len(TIMES), np.int64)
+    for at in range(0, len(found), 255):  # so many add up in a byte
+        votes += np.add.reduce(shingle_bits(found[at : at + 255]), axis=0, dtype=np.uint8)
+    return (2 * votes + shingle_bits(found[:1])[0] > len(found)).astype(np.uint8)
+
+
+def print_keys(bits: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The words of a fingerprint that are compared, as signed longs, and its key in each band."""
+    words = np.packbits(bits[: 64 * WORDS], bitorder="little").view("<i8")
+    return words.tolist(), bits[: BANDS * BITS].reshape(BANDS, BITS) @ (1 << np.arange(BITS, dtype=np.int16))
 
 
 def alike(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +127,23 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return ready.select(F.concat_ws(",", *group).alias("group"), "mark", "side", "shingles").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
+def coarsely(firsts: DataFrame) -> DataFrame:
+    """(mark, root), stored, for firsts (mark, words, keys): the same root for what links of fingerprints join."""
+    word = [F.col("words")[i].alias(f"word{i}") for i in range(WORDS)]
+    banded = firsts.select(*word, F.posexplode("keys").alias("band", "key")).select((F.col("band") * (1 << BITS) + F.col("key")).alias("key"), *(f"word{i}" for i in range(WORDS)))
+    large = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")  # at most BANDS << BITS rows
+    found = components(links_in_keys(banded.join(bounded(large), "key"), ["key"], [f"word{i}" for i in range(WORDS)], RADIUS))
+    nodes = firsts.select("mark", word[0])
+    return stored(nodes.join(bounded(found), F.col("word0") == F.col("node"), "left").select("mark", F.coalesce("root", "word0").alias("root")), "coarse")
+
+
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, mark, first) for each row of docs, first as in simhash.near_duplicates."""
 
-    @F.pandas_udf("array<bigint>")
-    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("words array<bigint>, keys array<smallint>")
+    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in fresh(parts):
-            yield pd.Series([band_keys(shingles(t, words)) for t in x], dtype="object")
+            yield pd.DataFrame([print_keys(fingerprint(shingles(t, words))) for t in x], columns=["words", "keys"])
 
     @F.pandas_udf("binary")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -123,13 +151,10 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
             yield pd.Series([shingles(t, words).astype("<u8").tobytes() for t in x], dtype="object")
 
     mark = F.xxhash64(text)
-    prints = stored(docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), keys(F.col(text)).alias("keys")), "prints")
-    firsts = stored(prints.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.first("keys").alias("keys")), "firsts")
-    banded = firsts.select("mark", F.posexplode("keys").alias("band", "key"))
-    least = stored(banded.groupBy("band", "key").agg(F.min("mark").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "key", "b"), "bands")
-    coarse = stored(components(banded.join(bounded(least), ["band", "key"]).where("mark <> b").select(F.col("mark").alias("a"), "b")), "coarse")
-    coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root")).distinct()
-    wanted = coarse.join(bounded(coarse.groupBy("root").agg(F.count("*").alias("n"))), "root").join(firsts.select("mark", "first.id"), F.col("node") == F.col("mark")).select("root", "n", F.col("mark").alias("wanted"), "id")
+    prints = stored(docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), keys(F.col(text)).alias("print")), "prints")
+    firsts = stored(prints.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.first("print").alias("print")).select("mark", "first", "print.*"), "firsts")
+    coarse = coarsely(firsts)
+    wanted = coarse.join(bounded(stored(coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "sizes")), "root").join(firsts.select("mark", "first.id"), "mark").select("root", "n", F.col("mark").alias("wanted"), "id")
     wanted = bounded(stored(wanted, "wanted"))
     # of docs these columns alone, as others may have any name
     texts = docs.select(F.col(doc_id).alias("own"), mark.alias("h"), F.col(text).alias("t")).join(wanted, (F.col("h") == F.col("wanted")) & F.col("own").eqNullSafe(F.col("id")))

@@ -6,10 +6,10 @@
    `extra` pieces is a band, and only fingerprints with equal keys in a band are compared. `extra` grows with the count of
    fingerprints, so that a key holds about as many of them at every size. A key of more than CHUNK fingerprints is dealt
    out as pairs of chunks: no task ever holds more than two chunks of one key.
-4. Comparison is bit-sliced: 64 fingerprints form a block of 64 bit planes (plane p has bit p of each). A fingerprint is
+4. Comparison is bit-sliced: 64 fingerprints form a block of bit planes, one for each bit (plane p has bit p of each). A fingerprint is
    held against a block by XOR with its own bit, spread over the plane; the 64 distances are kept in carry-save counters
    that saturate beyond the radius, and a block is abandoned once all 64 have. From what is left only a spanning forest
-   goes on, so that a group of m near copies gives fewer than m links for each key.
+   goes on, so that a group of m near copies gives fewer than m links for each task.
 5. Links become components by alternating large-star and small-star steps until nothing changes.
 
 Defined results: null, empty and blank texts have no shingles and the fingerprint zero, linked like any other. doc_id may
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import BROADCAST_BYTES, bounded, fresh, stored
 
 BITS, CHUNK = 64, 4096
-#: How many (fingerprint, block) pairs are compared at once.
-PAIRS = 1 << 15
+#: How many (fingerprint, block) pairs are compared at once, and how many links a task gathers before it makes one forest of them.
+PAIRS, LINKS = 1 << 15, 1 << 20
 
 
 def space_words(text: str) -> list[bytes]:
@@ -91,39 +91,37 @@ def bands(fp: Column, radius: int, extra: int) -> list[Column]:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, blocks): word b of plane p has bit p of fingerprints 64 b to 64 b + 63. The length is a multiple of 64."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(64 w, blocks) for fingerprints of w words, (n, w): word b of plane p has bit p of fingerprints 64 b to 64 b + 63. n is a multiple of 64."""
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def compared(sliced: np.ndarray, fps: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For each i, fps[i] against block[i]: the i and the word of bits within the radius, where there are any.
 
-    Three counter planes hold each distance up to 7 and `over` what went beyond the radius: for radii up to 6."""
+    As many counter planes as the radius has bits hold each distance; `over` marks what went beyond the radius or them."""
     at = np.arange(len(fps))
-    zero = np.zeros(len(fps), np.uint64)
-    one, two, four, over = zero, zero.copy(), zero.copy(), zero.copy()
-    for p in range(BITS):
-        x = sliced[p][block] ^ (np.uint64(0) - ((fps >> np.uint64(p)) & np.uint64(1)))
-        carry = one & x
-        one = one ^ x
-        carry, two = two & carry, two ^ carry
-        over |= four & carry  # eight
-        four = four ^ carry
-        above = np.zeros_like(one)
-        equal = ~above
-        for bit, c in ((4, four), (2, two), (1, one)):
-            if not radius & bit:
-                above |= equal & c
-                equal &= ~c
-            else:
-                equal &= c
-        over |= above
-        if p % 8 == 7 and p > 8 and not (keep := over != ~np.uint64(0)).all():
-            at, fps, block = at[keep], fps[keep], block[keep]
-            one, two, four, over = one[keep], two[keep], four[keep], over[keep]
-            if not len(at):
-                break
+    over, *counts = np.zeros((1 + radius.bit_length(), len(fps)), np.uint64)
+    for p in range(len(sliced)):
+        carry = sliced[p][block] ^ (np.uint64(0) - ((fps[:, p // BITS] >> np.uint64(p % BITS)) & np.uint64(1)))
+        for k, c in enumerate(counts):
+            counts[k], carry = c ^ carry, c & carry
+        over |= carry
+        if p % 8 == 7:
+            above = np.zeros_like(over)
+            equal = ~above
+            for k in range(len(counts) - 1, -1, -1):
+                if not radius >> k & 1:
+                    above |= equal & counts[k]
+                    equal &= ~counts[k]
+                else:
+                    equal &= counts[k]
+            over |= above
+            if p > 8 and not (keep := over != ~np.uint64(0)).all():
+                at, fps, block, over = at[keep], fps[keep], block[keep], over[keep]
+                counts = [c[keep] for c in counts]
+                if not len(at):
+                    break
     return at, ~over
 
 
@@ -141,8 +139,17 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def spanned(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(a, b), a > b: a spanning forest of the links between nodes, each to the least node of its component."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found) if found else ((), ())))
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    root = forest(at[: len(a)], at[len(a) :], len(nodes))
+    moved = root != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
+
+
 def linked(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to), as positions, that span what is within the radius in each group. Rows of a group lie together;
+    """Links (from, to), as positions, that span what is within the radius in each group. Rows of a group lie together, fps is (n, words);
     where both sides 0 and 1 occur, only links between them are sought."""
     order = np.arange(len(fps))
     first = np.r_[True, group[1:] != group[:-1]]
@@ -152,7 +159,7 @@ def linked(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) ->
     n_blocks = -(-size // 64)
     base = np.r_[0, np.cumsum(n_blocks)]  # first block of each group
     slot = base[g] * 64 + (order - start[g])
-    padded, owner = np.zeros(base[-1] * 64, np.uint64), np.full(base[-1] * 64, -1)
+    padded, owner = np.zeros((base[-1] * 64, fps.shape[1]), np.uint64), np.full(base[-1] * 64, -1)
     padded[slot], owner[slot] = fps, order
     sliced = planes(padded)
     used = np.packbits(owner >= 0, bitorder="little").view("<u8")
@@ -182,38 +189,52 @@ def links(prints: DataFrame, radius: int, extra: int) -> DataFrame:
     """(a, b): for distinct fingerprints `fp`, links that join whatever is within the radius, a > b."""
     banded = prints.select("fp", F.posexplode(F.array(*bands(F.col("fp"), radius, extra))).alias("band", "key"))
     large = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    banded = banded.join(large, ["band", "key"])
+    return links_in_keys(banded.join(large, ["band", "key"]), ["band", "key"], ["fp"], radius)
+
+
+def links_in_keys(banded: DataFrame, keys: list[str], fp: list[str], radius: int) -> DataFrame:
+    """(a, b), a > b: of rows (keys, fp, n), n of them with these keys, links that join what has equal keys and is within the radius.
+    fp names the words of a fingerprint; the first one is its node."""
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    mine = F.pmod(F.xxhash64(fp[0]), chunks).cast("int")
     # with c chunks, chunk m meets each other chunk once, and itself
     pairs = F.when(chunks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, "m").alias("i"), F.greatest(x, "m").alias("j"), F.when(x == F.col("m"), -1).when(x < F.col("m"), 1).otherwise(0).alias("side")))
     )
-    dealt = banded.select("band", "key", "fp", chunks.alias("c"), mine.alias("m"), "n").select("band", "key", "fp", F.explode(pairs).alias("x")).select("band", "key", "x.i", "x.j", "x.side", "fp")
-    group = ["band", "key", "i", "j"]
+    dealt = banded.select(*keys, *fp, chunks.alias("c"), mine.alias("m"), "n").select(*keys, *fp, F.explode(pairs).alias("x")).select(*keys, "x.i", "x.j", "x.side", *fp)
+    group = [*keys, "i", "j"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
 
-        def out(x: pd.DataFrame) -> pd.DataFrame:
-            fps = x["fp"].to_numpy()
-            a, b = linked(x["g"].to_numpy(), x["side"].to_numpy(), fps.view(np.uint64), radius)
-            return pd.DataFrame({"a": np.maximum(fps[a], fps[b]), "b": np.minimum(fps[a], fps[b])})
+        def out(x: pd.DataFrame, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fps = np.ascontiguousarray(x[fp].to_numpy(np.int64))
+            a, b = linked(g, x["side"].to_numpy(), fps.view(np.uint64), radius)
+            return fps[a, 0], fps[b, 0]
 
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for x in fresh(parts):
             x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            g = (x["group"] != x["group"].shift()).cumsum().to_numpy()
-            x["g"] = g
-            whole = g < g[-1]  # the last group may go on
-            if whole.any():
-                yield out(x[whole].reset_index(drop=True))
-            rest = x[~whole].drop(columns="g").reset_index(drop=True)
+            by = x[group].to_numpy(np.int64)
+            g = np.cumsum(np.r_[False, (by[1:] != by[:-1]).any(1)])
+            whole = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on
+            if whole:
+                found.append(out(x[:whole], g[:whole]))
+            rest = x[whole:]
+            if sum(len(a) for a, _ in found) > LINKS:
+                yield spanned(found)
+                found = []
         if rest is not None and len(rest):
-            rest["g"] = 0
-            yield out(rest)
-
-    ready = dealt.repartition(*group).sortWithinPartitions(*group).select(F.concat_ws(",", *group).alias("group"), "side", "fp")
-    return ready.mapInPandas(run, "a bigint, b bigint").distinct()
+            found.append(out(rest, np.zeros(len(rest), int)))
+        # what keys have in common is linked once for all the keys of a task
+        yield spanned(found)
+
+    ready = dealt.repartition(*group).sortWithinPartitions(*group).select(*group, "side", *fp)
+    # tasks link a node to different ones: it keeps its least, and that has the others, which many nodes have in common
+    stars = ready.mapInPandas(run, "a bigint, b bigint").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("to"))
+    least = F.element_at("to", 1)
+    pairs = F.transform("to", lambda b: F.struct(F.when(b == least, F.col("a")).otherwise(b).alias("a"), least.alias("b")))
+    return stars.select(F.explode(pairs).alias("x")).select("x.a", "x.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

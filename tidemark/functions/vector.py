@@ -316,20 +316,10 @@ def _searched(e: DataFrame, q: DataFrame, k: int, block: int | None, others: boo
     return found.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k).drop("rn")
 
 
-def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1000, others: bool = True) -> DataFrame:
-    """(q, n, distance): the k nearest rows of df for each row of a stated query set with the same columns, itself left out if `others`. A block
-    of queries at a time is held against every row; each task keeps k rows of a query before rows move."""
-    from functools import reduce
-
-    e, q = df.select(F.col(key).alias("n"), F.col(vector).alias("e")), queries.select(F.col(key).alias("q"), F.col(vector).alias("v"))
-    blocks = max(1, -(-q.count() // block))
-
-    def held(i: int) -> DataFrame:
-        mine = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))
-        pairs = e.join(mine, (F.col("n") != F.col("q")) if others else F.lit(True)).select("q", "n", l2_distance(F.col("e"), F.col("v")).alias("distance"))
-        return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("distance", "n"))).where(F.col("rn") <= k).drop("rn")
-
-    return reduce(DataFrame.unionByName, map(held, range(blocks)))
+def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int | None = None, others: bool = True) -> DataFrame:
+    """(q, n, distance): the k nearest rows of df for each row of a stated query set with the same columns, itself left out if `others`; rows
+    without a distance come last. A block of queries at a time is held against every row; each task keeps k rows of a query before rows move."""
+    return _searched(df.select(F.col(key).alias("n"), F.col(vector).alias("e")), queries.select(F.col(key).alias("q"), F.col(vector).alias("v")), k, block, others)
 
 
 class Cells:
